@@ -2,10 +2,11 @@
 
 Every row of a source is due ``target / source_size`` copies.  The integral part is
 given outright; the fractional part is rounded by the pivotal method: two rows pair
-their probabilities and mass moves at random from one to the other until one of them
-is integral.  Rows meet others of about their own size, in blocks of about ``BLOCK``
-rows; what is left of each block (one row at most) goes up a reduction tree whose
-nodes take ``BLOCK`` residuals each, so no task sees more than that at once.
+their probabilities and mass (words) moves at random from one to the other until one
+of them is integral.  The words of a pair stay as they are, so a source misses its
+target by part of its last row only.  Rows meet others of about their own size, largest
+first, in blocks of about ``BLOCK`` rows; what is left of each block (one row) goes up a
+reduction tree whose nodes take ``BLOCK`` residuals each, so no task gathers more.
 
 Defined results: null text has size 0; a null source is a source of its own, last in
 order; a source of size 0 takes nothing; rows that agree in key, source and size are
@@ -22,6 +23,8 @@ from pyspark.sql import Window as W
 from ferngraph.session import written
 
 BLOCK = 128
+#: Probabilities this near to 0 or 1 are integral.
+EPS = "1e-9D"
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,14 +65,20 @@ def _draw(*parts) -> str:
 
 def _fold(items: str, kind: str, seed: int, level: int) -> str:
     """SQL that folds an array of items (size, h, key, p) pairwise: ``done`` = decided
-    items with their bit, ``rest`` = the one item left, with its probability."""
+    items with their bit, ``rest`` = the one item left, with its probability.
+
+    ``up`` words can move from x to the rest and ``down`` words back before one of the two
+    is integral; chances of down : up leave each expectation, and the sum of words, as is.
+    """
     u = _draw(seed, level, "a.rest.h", "x.h", "a.rest.size", "x.size")
-    s = "(a.rest.p + x.p)"
-    # Below 1 one item drops to 0 and the other holds the sum; from 1 on, one rises to 1 and the other holds the excess.
-    x_holds = f"IF({s} < 1D, {u} * {s} < x.p, {u} * (2D - {s}) < 1D - x.p)"
-    pair = f"""named_struct('holds', IF({x_holds}, x, a.rest), 'ends', IF({x_holds}, a.rest, x),
-        'p', IF({s} < 1D, {s}, {s} - 1D), 'bit', IF({s} < 1D, 0, 1))"""
-    step = f"""transform(array({pair}), r -> named_struct(
+    moves = """named_struct('up', least((1D - a.rest.p) * a.rest.size, x.p * x.size),
+        'down', least(a.rest.p * a.rest.size, (1D - x.p) * x.size))"""
+    words = f"transform(array({moves}), m -> IF({u} * (m.up + m.down) < m.down, m.up, -m.down))[0]"
+    after = f"transform(array({words}), w -> named_struct('a', a.rest.p + w / a.rest.size, 'x', x.p - w / x.size))[0]"
+    split = f"""transform(array({after}), p -> IF(p.a < {EPS} OR p.a > 1D - {EPS},
+        named_struct('ends', a.rest, 'bit', int(p.a > 0.5D), 'holds', x, 'p', p.x),
+        named_struct('ends', x, 'bit', int(p.x > 0.5D), 'holds', a.rest, 'p', p.a)))[0]"""
+    step = f"""transform(array({split}), r -> named_struct(
         'done', concat(a.done, array(named_struct('item', r.ends, 'bit', r.bit))),
         'rest', named_struct('size', r.holds.size, 'h', r.holds.h, 'key', r.holds.key, 'p', r.p)))[0]"""
     start = f"named_struct('done', cast(array() as array<struct<item:{kind},bit:int>>), 'rest', {items}[0])"
@@ -78,6 +87,8 @@ def _fold(items: str, kind: str, seed: int, level: int) -> str:
 
 def pivotal(items: DataFrame, seed: int) -> DataFrame:
     """Round items (source, size, key struct, h, p) to (source, size, key, bit)."""
+    empty = items.where("size = 0").select("source", "size", "key", F.lit(0).alias("bit"))
+    items = items.where("size > 0")
     bucket = F.floor(F.log2(F.col("size") + 1) * 4).cast("int")
     items = items.withColumn("bucket", bucket)
     count = items.groupBy("source", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
@@ -91,7 +102,7 @@ def pivotal(items: DataFrame, seed: int) -> DataFrame:
     kind = items.schema["item"].dataType.simpleString()
     done, level, last = None, 0, False
     while True:
-        grouped = items.groupBy("source", "bucket", "block").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        grouped = items.groupBy("source", "bucket", "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
         node = written(grouped.select("source", "bucket", "block", F.expr(_fold("items", kind, seed, level)).alias("r")), f"level{level}")
         part = node.select("source", F.explode("r.done").alias("d")).select("source", "d.item.size", "d.item.key", "d.bit")
         done = part if done is None else done.unionByName(part)
@@ -99,7 +110,7 @@ def pivotal(items: DataFrame, seed: int) -> DataFrame:
         if last:
             u = F.expr(_draw(seed, "'top'", "item.h", "item.size"))
             end = rest.select("source", "item.size", "item.key", (u < F.col("item.p")).cast("int").alias("bit"))
-            return done.unionByName(end)
+            return done.unionByName(end).unionByName(empty)
         last = top <= 1
         items = rest.select("source", F.lit(0).alias("bucket") if last else F.col("bucket"), F.lit(0).cast("long").alias("block") if last else F.floor(F.col("block") / BLOCK).alias("block"), "item")
         top, level = -(-top // BLOCK), level + 1
