@@ -61,11 +61,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(bounds: np.ndarray, size: int = CHUNK):
-    """(first, last) ranges of rows of about ``size`` bytes; one long row stands alone."""
+    """(first, last) ranges of rows of about ``size`` bytes and 65536 rows at most; one long
+    row stands alone."""
     i, n = 0, len(bounds) - 1
     while i < n:
         j = int(np.searchsorted(bounds, bounds[i] + size, "right")) - 1
-        j = min(max(j, i + 1), n)
+        j = min(max(j, i + 1), n, i + 65536)
         yield i, j
         i = j
 
