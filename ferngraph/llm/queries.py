@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferngraph.llm import chat_tree, langid, mixing, ngram_join, secrets, urls
+from ferngraph.llm import chat_tree, langid, line_dedup, mixing, ngram_join, secrets, urls
 from ferngraph.session import table
 
 
@@ -44,6 +44,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs).select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.join(docs).select("doc_id", "n_shingles", "component_id")
@@ -59,7 +64,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_tree, op2_mixing, op4_langid, op5_secrets, op9_ngram_join, op10_urls)}
+    return {f.__name__: f for f in (op1_chat_tree, op2_mixing, op4_langid, op5_secrets, op8_line_dedup, op9_ngram_join, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
