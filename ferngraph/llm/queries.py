@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferngraph.llm import chat_tree, langid, line_dedup, mixing, ngram_join, secrets, urls
+from ferngraph.llm import chat_tree, chroma, langid, line_dedup, masked_lm, mixing, ngram_join, secrets, templates, urls
 from ferngraph.session import table
 
 
@@ -25,6 +25,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op3_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has recordings: the bytes of each text are played as 8-bit samples."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chroma.search(docs, "doc_id", F.col("text"), F.col("doc_id") % 100 == 0)
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = langid.fold(F.col("doc_id")) == 1
@@ -44,6 +50,17 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = templates.find(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", F.explode("_hits").alias("h")).select("doc_id", F.col("h.item").alias("item_id"), "h.windows", "h.first_word", "h.share", "h.changed")
+
+
+def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return masked_lm.score(docs, masked_lm.fit(docs), keep=["doc_id"])
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup(docs).select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"))
@@ -63,8 +80,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.rules(*URL_RULES)).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_tree, op2_mixing, op4_langid, op5_secrets, op8_line_dedup, op9_ngram_join, op10_urls)}
+    own = (op1_chat_tree, op2_mixing, op3_chroma, op4_langid, op5_secrets, op6_templates, op7_masked_lm, op8_line_dedup, op9_ngram_join, op10_urls, pipeline)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

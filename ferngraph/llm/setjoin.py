@@ -39,25 +39,29 @@ PAIRS = "a long, b long, open boolean, key long, set long, ord long, n int, pos
 
 
 def sketch_rows(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """A task's counters as BLOCKS rows."""
     parts = counts.astype(np.uint64).reshape(BLOCKS, -1)
     return list(range(BLOCKS)), [zlib.compress(p.tobytes(), 1) for p in parts]
 
 
 def _sum_blocks(t: pa.Table) -> pa.Table:
-    total = np.zeros(SKETCH // BLOCKS, np.uint64)
-    for x in t["counts"]:
-        total += np.frombuffer(zlib.decompress(x.as_py()), np.uint64)
+    total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.uint64) for x in t["counts"])
     return pa.table({"block": pa.array([t["block"][0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """Rank (small: rare) of each sketch cell, from rows (block, counts) of all tasks.
-    They are summed in two steps, so that no task gets them all; the result has a fixed size."""
+def summed(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' counters (block, counts).  It takes two steps, so that no task
+    gets them all; ``size`` is fixed, whatever the input."""
     first = rows.withColumn("part", F.pmod(F.hash("counts"), F.lit(512))).groupBy("block", "part").applyInArrow(_sum_blocks, "block int, counts binary")
-    out = np.zeros((BLOCKS, SKETCH // BLOCKS), np.uint64)
+    out = np.zeros((BLOCKS, size // BLOCKS), np.uint64)
     for r in first.groupBy("block").applyInArrow(_sum_blocks, "block int, counts binary").collect():
         out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
-    return np.floor(np.log2(out.ravel() + 1.0) * 64).astype(np.uint16)
+    return out.ravel()
+
+
+def rarity(rows: DataFrame) -> np.ndarray:
+    """Rank (small: rare) of each sketch cell."""
+    return np.floor(np.log2(summed(rows, SKETCH) + 1.0) * 64).astype(np.uint16)
 
 
 def cells(values: np.ndarray) -> np.ndarray:
