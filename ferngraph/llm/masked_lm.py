@@ -100,27 +100,35 @@ class Network:
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
-    def train(self, counts: np.ndarray, steps: int = 150, rate: float = 0.05) -> list[float]:
+    def train(self, counts: np.ndarray, steps: int = 120, rate: float = 0.05) -> list[float]:
         """Adam on the mean log-loss of all counted words; returns the losses."""
         n = counts.sum()
         if not n:
             return []
-        of = counts.sum(1, keepdims=True)
-        m, v, losses = [np.zeros_like(x) for x in self.p], [np.zeros_like(x) for x in self.p], []
+        met = np.flatnonzero(counts.sum(1))
+        counts = (counts[met] / n).astype(np.float32)
+        of, places = counts.sum(1, keepdims=True), [x[met] for x in self.places]
+        # one-hot rows of the places turn sums over contexts into matrix products
+        hot = [np.eye(len(e), dtype=np.float32)[i] for e, i in zip(self.p[:4], places, strict=True)]
+        p = [x.astype(np.float32) for x in self.p]
+        m, v, losses = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], []
         for t in range(1, steps + 1):
-            h, lp = self.hidden(), self.log_p()
-            p = np.exp(lp)
-            losses.append(float(-(counts[:, 1:] * lp[:, 1:]).sum() / n))
-            dz = (p * of - counts) / n
+            h = np.tanh(sum(e[i] for e, i in zip(p[:4], places, strict=True)))
+            z = h @ p[4] + p[5]
+            z[:, 0] = -1e9
+            z -= z.max(1, keepdims=True)
+            e = np.exp(z)
+            total = e.sum(1, keepdims=True)
+            losses.append(float((of * np.log(total)).sum() - (counts[:, 1:] * z[:, 1:]).sum()))
+            dz = e / total * of - counts
             dz[:, 0] = 0
-            dh = dz @ self.p[4].T * (1 - h * h)
-            grid = dh.reshape(COARSE, CLASSES, CLASSES, COARSE, HIDDEN)
-            grads = [grid.sum(tuple(x for x in range(4) if x != k)) for k in range(4)]
-            grads += [h.T @ dz, dz.sum(0)]
+            dh = dz @ p[4].T * (1 - h * h)
+            grads = [x.T @ dh for x in hot] + [h.T @ dz, dz.sum(0)]
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
-                self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-9)
+                p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-9)
+        self.p = [x.astype(np.float64) for x in p]
         return losses
 
 
