@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ferngraph.functions import paths as P
+from ferngraph.session import written
 
 SIBLINGS = 10
 
@@ -101,11 +102,13 @@ def cycles(subjects: DataFrame, edges: DataFrame, depth: int = 6, limit: int = 5
     """(subject, cycle): the first ``limit`` simple cycles through each subject of at most
     ``depth`` files, by path order.  Each round prunes paths to nodes from which the subject
     can still be reached in time, so hubs off every cycle are not expanded."""
-    e = edges.select("src_file", "dst_file").where("src_file <> dst_file").distinct()
-    back = subjects.select("subject", F.col("subject").alias("node"), F.lit(0).alias("left")).distinct()
-    step, reach = back, back
+    # each round's frontier is a table of its own: later rounds read it several times
+    e = written(edges.select("src_file", "dst_file").where("src_file <> dst_file").distinct(), "edges")
+    step = written(subjects.select("subject", F.col("subject").alias("node"), F.lit(0).alias("left")).distinct(), "reach")
+    reach = step
     for k in range(1, depth):
-        step = step.join(e, F.col("node") == F.col("dst_file")).select("subject", F.col("src_file").alias("node")).distinct().join(reach, ["subject", "node"], "left_anti").withColumn("left", F.lit(k))
+        step = step.join(e, F.col("node") == F.col("dst_file")).select("subject", F.col("src_file").alias("node")).distinct().join(reach, ["subject", "node"], "left_anti")
+        step = written(step.withColumn("left", F.lit(k)), "reach")
         reach = reach.unionByName(step)
     live = subjects.select("subject", F.array("subject").alias("path"), F.col("subject").alias("node")).distinct()
     found = None
