@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferngraph.llm import kernel
-from ferngraph.session import ship, written
+from ferngraph.session import extended, ship, written
 
 FRAME, HOP, RATE, WIDTH = 128, 32, 8000, 8
 RUN, WINNOW = 2, 8
@@ -119,8 +119,7 @@ def prints(df: DataFrame, media: Column, keep: list[str]) -> DataFrame:
     """``keep`` columns with ``ints``, the packed integers as little-endian bytes."""
     x = df.select(media.cast("binary").alias("_media"), *keep)
     ship(df.sparkSession)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[1:]), "ints binary"])
-    return x.mapInArrow(_prints, schema)
+    return x.mapInArrow(_prints, extended(x, 1, "ints binary"))
 
 
 def _post(batches):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferngraph.llm import kernel
-from ferngraph.session import ship
+from ferngraph.session import extended, ship
 
 ORDERS = (1, 2, 3)
 #: The model is fitted on at most about so many labelled rows of each language, chosen by hash.
@@ -153,12 +153,11 @@ def _score(broadcast):
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: all) with lang_pred and score."""
-    keep = df.columns if keep is None else keep
+    """``keep`` columns (default: all) with lang_pred and score, which replace columns of these names."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     shown = df.select(F.col(text).alias("_text"), *[F.col(c) for c in keep])
     ship(df.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[1:])
-    return shown.mapInArrow(_score(df.sparkSession.sparkContext.broadcast(model)), (schema + ", " if schema else "") + "lang_pred string, score double")
+    return shown.mapInArrow(_score(df.sparkSession.sparkContext.broadcast(model)), extended(shown, 1, "lang_pred string, score double"))
 
 
 def fold(key: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferngraph.llm import kernel, setjoin
-from ferngraph.session import ship
+from ferngraph.session import extended, ship
 
 CELLS = 1 << 16
 #: Class 0 is the edge of a text.
@@ -181,9 +181,11 @@ def _score(shared):
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: all) with n_words, log_likelihood and its mean per word."""
-    keep = docs.columns if keep is None else keep
+    """``keep`` columns (default: all) with n_words, log_likelihood and its mean per word,
+    which replace columns of these names."""
+    own = ("n_words", "log_likelihood", "mean_log_likelihood")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
     ship(docs.sparkSession)
     x = docs.select(F.col(text).alias("_text"), *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[1:]), "n_words long, log_likelihood double, mean_log_likelihood double"])
+    schema = extended(x, 1, "n_words long, log_likelihood double, mean_log_likelihood double")
     return x.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferngraph.llm import kernel
-from ferngraph.session import ship, written
+from ferngraph.session import extended, ship, written
 
 WINDOW = 8
 LITERALS = 4
@@ -199,8 +199,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         shared = spark.sparkContext.broadcast((u[order], *[part[c].to_numpy(np.int64)[order] for c in ("size", "item", "pos")], [list(part["slots"].iloc[x]) for x in order], part["of"].to_numpy(np.int64)[order]))
         more = [] if k == 0 else [F.col("_old")]
         x = out.select("_text", *([F.col("_text").alias("_again")] if k + 1 < passes else []), *keep, *more)
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[1:]), f"_hits {HIT}"])
-        got = x.mapInArrow(_look_up(shared), schema)
+        got = x.mapInArrow(_look_up(shared), extended(x, 1, f"_hits {HIT}"))
         hits = F.concat("_old", "_hits") if k else F.col("_hits")
         if k + 1 == passes:
             return got.select(*keep, hits.alias("_hits"))
@@ -210,4 +209,5 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents without a hit."""
-    return find(docs, benchmark, text).where(F.size("_hits") == 0).drop("_hits")
+    whole = docs.select(F.col(text).alias("t"), F.struct(*docs.columns).alias("_doc"))
+    return find(whole, benchmark, "t", keep=["_doc"]).where(F.size("_hits") == 0).select("_doc.*")

@@ -186,7 +186,7 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "label", rounds: int
 
 
 def judge(df: DataFrame, known: list[Rule], url: str = "url", labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """Adds host, path, rule, verdict and score.  The trees learn from ``labelled`` (url,
+    """Adds host, path, rule, verdict and block_score, which replace columns of these names.  The trees learn from ``labelled`` (url,
     label), or else from the urls that a rule decides."""
     u = F.col(url)
     host, path = split_url(u)
@@ -196,4 +196,5 @@ def judge(df: DataFrame, known: list[Rule], url: str = "url", labelled: DataFram
         labelled = x.where("_rule is not null").select(u.alias("url"), (F.col("_rule.action") == "block").cast("int").alias("label"))
     x = fit(labelled).score(x, url)
     own = F.when(F.col("_score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return x.select(*df.columns, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), F.coalesce("_rule.action", own).alias("verdict"), F.col("_score").alias("block_score"))
+    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
+    return x.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), F.coalesce("_rule.action", own).alias("verdict"), F.col("_score").alias("block_score"))
