@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
@@ -48,5 +49,11 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(df: DataFrame, skip: int, ddl: str) -> StructType:
+    """The schema of ``df`` without its first ``skip`` columns, and the columns of ``ddl``."""
+    own = [StructField(f.name, f.dataType, True) for f in df.schema.fields[skip:]]
+    return StructType([*own, *StructType.fromDDL(ddl).fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
