@@ -12,8 +12,8 @@ from ferngraph.session import table, written
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: those with no letter in them."""
     model = langid.fit(docs.where(langid.fold(F.col("doc_id")) != 1).select("text", "lang"))
-    found = langid.identify(docs, model)
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    whole = docs.select("text", F.struct(*docs.columns).alias("_doc"))
+    return langid.identify(whole, model, keep=["_doc"]).where("lang_pred <> 'und'").select("_doc.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
