@@ -4,9 +4,11 @@ Every row of a source is due ``target / source_size`` copies.  The integral part
 given outright; the fractional part is rounded by the pivotal method: two rows pair
 their probabilities and mass (words) moves at random from one to the other until one
 of them is integral.  The words of a pair stay as they are, so a source misses its
-target by part of its last row only.  Rows meet others of about their own size, largest
-first, in blocks of about ``BLOCK`` rows; what is left of each block (one row) goes up a
-reduction tree whose nodes take ``BLOCK`` residuals each, so no task gathers more.
+target by part of its last row only.  Rows meet by hash in blocks of about ``BLOCK`` rows,
+largest first, so that small rows settle large ones; what is left of each block (one row)
+goes up a reduction tree whose nodes take ``BLOCK`` residuals each, so no task gathers more.
+Rows that hold more than 1 / ``LARGE`` of their source (fewer than ``LARGE`` of each) are
+rounded among themselves before; the others are then due what these leave of the target.
 
 Defined results: null text has size 0; a null source is a source of its own, last in
 order; a source of size 0 takes nothing; rows that agree in key, source and size are
@@ -23,6 +25,7 @@ from pyspark.sql import Window as W
 from ferngraph.session import written
 
 BLOCK = 128
+LARGE = 100
 #: Probabilities this near to 0 or 1 are integral.
 EPS = "1e-9D"
 WEIGHTS = (5, 2, 1)
@@ -89,30 +92,26 @@ def pivotal(items: DataFrame, seed: int) -> DataFrame:
     """Round items (source, size, key struct, h, p) to (source, size, key, bit)."""
     empty = items.where("size = 0").select("source", "size", "key", F.lit(0).alias("bit"))
     items = items.where("size > 0")
-    bucket = F.floor(F.log2(F.col("size") + 1) * 4).cast("int")
-    items = items.withColumn("bucket", bucket)
-    count = items.groupBy("source", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    count = written(count, "blocks")
+    count = written(items.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "blocks")
+    c = count.withColumnRenamed("source", "_s")
     if count.count() <= BROADCAST_ROWS:
-        count = F.broadcast(count)
-    c = count.withColumnsRenamed({"source": "_s", "bucket": "_b"})
-    items = items.join(c, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b"))).drop("_s", "_b")
+        c = F.broadcast(c)
+    items = items.join(c, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     top = count.agg(F.max("blocks")).first()[0] or 1
-    items = items.select("source", "bucket", F.pmod("h", F.col("blocks")).alias("block"), F.struct("size", "h", "key", "p").alias("item"))
+    items = items.select("source", F.pmod("h", F.col("blocks")).alias("block"), F.struct("size", "h", "key", "p").alias("item"))
     kind = items.schema["item"].dataType.simpleString()
-    done, level, last = None, 0, False
+    done, level = None, 0
     while True:
-        grouped = items.groupBy("source", "bucket", "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
-        node = written(grouped.select("source", "bucket", "block", F.expr(_fold("items", kind, seed, level)).alias("r")), f"level{level}")
+        grouped = items.groupBy("source", "block").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items"))
+        node = written(grouped.select("source", "block", F.expr(_fold("items", kind, seed, level)).alias("r")), f"level{level}")
         part = node.select("source", F.explode("r.done").alias("d")).select("source", "d.item.size", "d.item.key", "d.bit")
         done = part if done is None else done.unionByName(part)
-        rest = node.select("source", "bucket", "block", F.col("r.rest").alias("item"))
-        if last:
+        rest = node.select("source", "block", F.col("r.rest").alias("item"))
+        if top <= 1:
             u = F.expr(_draw(seed, "'top'", "item.h", "item.size"))
             end = rest.select("source", "item.size", "item.key", (u < F.col("item.p")).cast("int").alias("bit"))
             return done.unionByName(end).unionByName(empty)
-        last = top <= 1
-        items = rest.select("source", F.lit(0).alias("bucket") if last else F.col("bucket"), F.lit(0).cast("long").alias("block") if last else F.floor(F.col("block") / BLOCK).alias("block"), "item")
+        items = rest.select("source", F.floor(F.col("block") / BLOCK).alias("block"), "item")
         top, level = -(-top // BLOCK), level + 1
 
 
@@ -124,19 +123,35 @@ def mix(df: DataFrame, keys: list[str], seed: int = 17, weights=WEIGHTS, cap: fl
     if targets.count() <= BROADCAST_ROWS:
         targets = F.broadcast(targets)
     t = targets.withColumnRenamed("source", "_t")
-    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(due + F.lit(1e-12))
     on = F.col("source").eqNullSafe(F.col("_t"))
     # equal rows were counted once; two steps bring them back without one huge array
     rows = base.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div 1024"))).alias("hi"))
     rows = rows.select("*", F.explode(F.expr("sequence(hi * 1024, least(n, (hi + 1) * 1024) - 1)")).alias("nth"))
-    rows = rows.join(t, on).select(
-        "source", "size", F.struct(*keys, "nth").alias("key"),
-        F.xxhash64(F.lit(seed), *keys, "nth", "size").alias("h"),
-        F.greatest(F.lit(0.0), F.least(due - whole, F.lit(1.0 - 1e-12))).alias("p"),
-    )
-    bits = pivotal(rows, seed)
-    out = bits.join(t, on).select(*[F.col(f"key.{k}").alias(k) for k in keys], "source", "size", "source_size", "target", (whole + F.col("bit")).cast("long").alias("copies"))
+    rows = rows.select("source", "size", F.struct(*keys, "nth").alias("key"), F.xxhash64(F.lit(seed), *keys, "nth", "size").alias("h")).join(t, on)
+
+    def rounded(part: DataFrame, due: Column, salt: int) -> tuple[DataFrame, Column]:
+        """Bits for the fractional part of ``due``, and its integral part."""
+        whole = F.floor(due + F.lit(1e-12))
+        p = F.greatest(F.lit(0.0), F.least(due - whole, F.lit(1.0 - 1e-12)))
+        return pivotal(part.select("source", "size", "key", "h", p.alias("p")), seed + salt), whole
+
+    big = F.col("size") * LARGE > F.col("source_size")
+    due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    bits, whole = rounded(rows.where(big), due, 0)
+    large = written(bits.join(t, on).select("source", "size", "key", (whole + F.col("bit")).cast("long").alias("copies")), "large")
+    # what the largest rows took, and how many words the others are due
+    took = large.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("took"), F.sum("size").alias("held"))
+    rest = targets.join(took.withColumnRenamed("source", "_t"), on, "left")
+    left = F.col("source_size") - F.coalesce("held", F.lit(0))
+    per = F.when(left > 0, F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), F.col("target") - F.coalesce("took", F.lit(0))) / left)).otherwise(F.lit(0.0))
+    rest = written(rest.select("source", "source_size", "target", per.alias("due")), "rest")
+    if rest.count() <= BROADCAST_ROWS:
+        rest = F.broadcast(rest)
+    r = rest.withColumnRenamed("source", "_t")
+    bits, whole = rounded(rows.where(~big).drop(*t.columns).join(r, on), F.col("due"), 100)
+    small = bits.join(r, on).select("source", "size", "key", (whole + F.col("bit")).cast("long").alias("copies"))
+    out = large.unionByName(small).join(t, on)
+    out = out.select(*[F.col(f"key.{k}").alias(k) for k in keys], "source", "size", "source_size", "target", "copies")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
