@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferngraph.llm import kernel, setjoin
-from ferngraph.session import ship, written
+from ferngraph.session import extended, ship, written
 
 NEAREST = 3
 LAST_LINE = (1 << 20) - 1
@@ -99,10 +99,10 @@ def _sets(wanted):
         for b in batches:
             for v, r, n, _, _ in _line_sets(b.column(0)):
                 size, sets = kernel.set_ids(v, r, n)
-                end = np.cumsum(size)
                 at = np.flatnonzero(wanted.value.has(sets) & (size > 0))
-                at = at[np.unique(sets[at], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(sets[at]), pa.array([v[end[x] - size[x] : end[x]].tobytes() for x in at], pa.binary())], ["set", "elements"])
+                at = np.sort(at[np.unique(sets[at], return_index=True)[1]])
+                keep = np.isin(r, at)
+                yield setjoin.set_rows(v[keep], r[keep], sets, at)
 
     return run
 
@@ -124,12 +124,13 @@ def _strip(batches):
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
-    """The documents with ``text`` without the lines that go, and _lines and _removed."""
+    """The documents with ``text`` without the lines that go, and _lines and _removed, which
+    replace columns of these names."""
     spark = docs.sparkSession
     ship(spark)
-    row = F.xxhash64(*docs.columns)
     number = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 43) - 1))
-    shown = docs.select(F.col(text).alias("t"), number.alias("i"), row.alias("r"))
+    whole = docs.select(F.col(text).alias("t"), number.alias("i"), F.xxhash64(*docs.columns).alias("r"), F.struct(*docs.columns).alias("_doc"))
+    shown = whole.select("t", "i", "r")
     made = written(shown.mapInArrow(_instances, "row long, line long, set long, ord long, block int, counts binary"), "lines")
     lines = made.where("set is not null").select("row", "line", "set", "ord")
     rank = spark.sparkContext.broadcast(setjoin.rarity(made.where("block is not null").select("block", "counts")))
@@ -140,7 +141,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int
     def fetch(p):
         ids = p.select(F.explode(F.array("a", "b")).alias("set")).distinct()
         wanted = spark.sparkContext.broadcast(setjoin.id_filter(ids, "set"))
-        return shown.select("t").mapInArrow(_sets(wanted), "set long, elements binary").groupBy("set").agg(F.first("elements").alias("elements"))
+        return setjoin.once(shown.select("t").mapInArrow(_sets(wanted), setjoin.SETS))
 
     gone = written(setjoin.verified(pairs, fetch(pairs), num, den).select(F.col("b").alias("set")).distinct(), "gone")
     still = kept.where("open").join(gone, "set", "left_anti")
@@ -152,15 +153,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int
     first = lines.groupBy("set").agg(F.min("ord").alias("first"))
     first = first.join(gone.withColumn("gone", F.lit(True)), "set", "left")
     lost = lines.join(first, "set").where("gone OR ord > first").groupBy("row").agg(F.collect_set("line").alias("_gone"))
-    both = docs.withColumn("_row", row).join(lost, F.col("_row") == F.col("row"), "left")
-    rest = [c for c in docs.columns if c != text]
-    both = both.select(F.col(text).alias("_t"), "_gone", *rest)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields[2:]), "_text string, _lines long, _removed long"])
-    out = both.mapInArrow(_strip, schema)
-    return out.select(*[F.col("_text").alias(text) if c == text else F.col(c) for c in docs.columns], "_lines", "_removed")
+    both = whole.join(lost, F.col("r") == F.col("row"), "left").select("t", "_gone", F.col("_doc").dropFields(text).alias("_doc") if len(docs.columns) > 1 else F.struct().alias("_doc"))
+    out = both.mapInArrow(_strip, extended(both, 2, "_text string, _lines long, _removed long"))
+    kept = [F.col("_text").alias(text) if c == text else F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ("_lines", "_removed")]
+    return out.select(*kept, "_lines", "_removed")
 
 
 def dedup_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``dedup``, without the documents that had words and have none left."""
     out = dedup(docs, doc_id, text)
-    return out.where(~((F.col("_removed") > 0) & ~F.col(text).rlike(r"[^\x20\x09-\x0D]"))).select(*docs.columns)
+    return out.where(~((F.col("_removed") > 0) & ~F.col(text).rlike(r"[^\x20\x09-\x0D]"))).select(*[c for c in docs.columns if c in out.columns])

@@ -8,7 +8,8 @@ length filter, the positional filter and a suffix filter (parity bitmaps bound t
 symmetric difference from below).  What passes is verified once per pair on whole sets.
 
 Runs of postings are read as a stream.  Each posting looks back over at most ``REACH``
-others of its run and yields its ``nearest`` passing predecessors.  Where that leaves
+others of its run and yields the first of the run, if it passes, and then its nearest
+passing predecessors, ``nearest`` in all.  Where that leaves
 something open (more might pass, or the run is longer), the run's postings are kept, so
 that the caller can settle, by a join, just what these pairs left open.  No task holds a
 whole run and no group is expanded into all its pairs.
@@ -119,8 +120,14 @@ def _look_back(p: dict, old: int, is_long: bool, nearest: int, num: int, den: in
     got = np.zeros(n, np.int32)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     live = np.flatnonzero((np.arange(n) >= old) & (place > 0))
+    # the head of the run first: copies of one text then make a star, not a chain
+    head = np.repeat(begin, length)
+    hit = live[passes(p, head[live], live, num, den)]
+    got[hit] += 1
+    found.append((p["set"][head[hit]], p["set"][hit]))
+    live = live[place[live] > 1]
     for d in range(1, min(int(length.max(initial=1)), REACH + 1)):
-        live = live[(place[live] >= d) & (got[live] < nearest)]
+        live = live[(place[live] > d) & (got[live] < nearest)]
         if not len(live):
             break
         hit = live[passes(p, live - d, live, num, den)]
@@ -137,7 +144,7 @@ def _look_back(p: dict, old: int, is_long: bool, nearest: int, num: int, den: in
 
 def _runs(nearest: int, num: int, den: int):
     def run(batches):
-        # What is held over: the last run so far, or, of a long one, its last REACH postings.
+        # What is held over: the last run so far, or, of a long one, its head and last postings.
         held, old, is_long = None, 0, False
         for batch in batches:
             p = {x: batch.column(k).to_numpy(zero_copy_only=False) for k, x in enumerate(NAMES)}
@@ -156,7 +163,7 @@ def _runs(nearest: int, num: int, den: int):
                 p = {x: p[x][last:] for x in NAMES}
             if len(p["key"]) - old > REACH:
                 yield _look_back(p, old, True, nearest, num, den)
-                p = {x: p[x][-REACH:] for x in NAMES}
+                p = {x: np.concatenate((p[x][:1], p[x][1 - REACH :])) for x in NAMES}
                 old, is_long = len(p["key"]), True
             held = p
         if held is not None and len(held["key"]) > old:
@@ -185,6 +192,32 @@ def pass_filters(a: str, b: str, num: int, den: int):
     )
 
 
+WIDE = 8
+
+
+def wide_bits(values: np.ndarray, rows: np.ndarray, n_rows: int) -> list[np.ndarray]:
+    """WIDE columns of 64 parity bits of each row's set, for the suffix filter of larger sets."""
+    size = np.bincount(rows, minlength=n_rows)
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    at = np.flatnonzero(size)
+    h = kernel.mix(values)
+    word, bit = (h >> np.uint64(6)) & np.uint64(WIDE - 1), np.uint64(1) << (h & np.uint64(63))
+    out = []
+    for k in range(WIDE):
+        bits = np.zeros(n_rows, np.uint64)
+        if len(values):
+            bits[at] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), begin[at])
+        out.append(bits.view(np.int64))
+    return out
+
+
+def pass_wide(a: str, b: str, num: int, den: int):
+    """The suffix filter on WIDE columns w0, w1, ... of either side."""
+    least = f"((({a}_n + {b}_n) * {num} + {num + den - 1}) div {num + den})"
+    apart = " + ".join(f"bit_count({a}_w{k} ^ {b}_w{k})" for k in range(WIDE))
+    return F.expr(f"{apart} <= {a}_n + {b}_n - 2 * {least}")
+
+
 def side(postings: DataFrame, name: str) -> DataFrame:
     return postings.select("key", *[F.col(c).alias(f"{name}_{c}") for c in postings.columns if c != "key"])
 
@@ -250,11 +283,33 @@ def _verify(num: int, den: int):
     return run
 
 
+SETS = ", ".join(["set long", "n int", *(f"w{k} long" for k in range(WIDE)), "elements binary"])
+
+
+def set_rows(values: np.ndarray, rows: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The sets of rows ``at`` (by id), with their wide bitmaps, as SETS."""
+    size = np.bincount(rows, minlength=len(ids))
+    end = np.cumsum(size)
+    elements = pa.array([values[end[x] - size[x] : end[x]].tobytes() for x in at], pa.binary())
+    wide = [pa.array(w[at]) for w in wide_bits(values, rows, len(ids))]
+    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(size[at].astype(np.int32)), *wide, elements], [c.split()[0] for c in SETS.split(", ")])
+
+
+def once(sets: DataFrame) -> DataFrame:
+    """Each set once, as a table."""
+    return written(sets.groupBy("set").agg(*[F.first(c).alias(c) for c in sets.columns if c != "set"]), "sets")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sets (set, elements: sorted packed hashes) are similar enough."""
+    """Pairs (a, b) whose sets (as SETS, each once) are similar enough.  Wide bitmaps meet
+    first; only what they let pass has its elements moved."""
+    small = sets.drop("elements")
+    x, y = (small.select(*[F.col(c).alias(f"{s}_{c}") for c in small.columns]) for s in ("x", "y"))
+    left = pairs.join(x, F.col("a") == F.col("x_set")).join(y, F.col("b") == F.col("y_set")).where(pass_wide("x", "y", num, den)).select("a", "b")
+    left = written(left, "likely")
     x = sets.select(F.col("set").alias("a"), F.col("elements").alias("x"))
     y = sets.select(F.col("set").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
+    return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
 
 
 # --- components -------------------------------------------------------------------
