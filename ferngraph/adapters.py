@@ -41,6 +41,12 @@ VIEWS = {
     "risk_scores": "SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) % 101 AS risk_score, CAST(1 + o_orderkey % 2 AS BIGINT) AS score_version FROM {orders}",
     "changed": f"SELECT {path_of('s_suppkey')} AS path, CASE s_nationkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'deleted' ELSE 'modified' END AS status,"
     " s_suppkey % 10 <> 0 AS indexed FROM {supplier} WHERE s_suppkey % 3 = 0",
+    "graded": "SELECT c_custkey AS id, CAST(c_custkey % 11 AS DOUBLE) / 10 AS confidence, CAST(c_custkey % 7 AS DOUBLE) / 7 AS symbol_rate, CAST(c_custkey % 5 AS DOUBLE) / 5 AS direction_rate,"
+    " c_custkey % 2 = 0 AS inverted, c_custkey % 6 AS n_must, c_custkey % 13 AS n_likely, c_custkey % 3 = 0 AS single_tier, c_custkey % 4 AS signal_types, c_custkey % 4 AS n_tests, c_custkey % 2 AS n_direct,"
+    " CASE c_custkey % 3 WHEN 0 THEN 'is_test' WHEN 1 THEN 'no_tests_nearby' ELSE 'other' END AS test_reason, c_custkey % 5 AS n_related, c_custkey % 2 = 1 AS informative,"
+    " CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'odd' END AS blast_level, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'x' END AS blast_detail FROM {customer}",
+    "named": "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'node_modules/' WHEN 2 THEN 'a/.cache/' WHEN 3 THEN 'x.egg-info/' WHEN 4 THEN 'packages/p' || p_partkey % 3 || '/' ELSE '' END || 'f' || p_partkey ||"
+    " CASE p_partkey % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.go' WHEN 3 THEN '.md' WHEN 4 THEN '.rs' WHEN 5 THEN '.cs' WHEN 6 THEN '.test.ts' ELSE '' END AS path FROM {part}",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
 

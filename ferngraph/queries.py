@@ -600,6 +600,71 @@ def agg_tier_counts(r, spark, d):
     return quality.tier_counts(x.withColumn("signals", ranking.signal_strings(F.lit(5)))).select("subject", "high", "medium", "low")
 
 
+GRADES = """g AS (SELECT *, greatest(1.0::DOUBLE, least(4.0::DOUBLE, 4.0::DOUBLE - CASE WHEN confidence < 0.8::DOUBLE THEN 1.0 WHEN confidence < 0.95::DOUBLE THEN 0.5 ELSE 0.0 END - CASE WHEN symbol_rate < 0.3::DOUBLE THEN 0.5 ELSE 0.0 END
+- CASE WHEN direction_rate < 0.5::DOUBLE THEN 0.5 ELSE 0.0 END - CASE WHEN n_must >= 3 AND inverted THEN 0.5 ELSE 0.0 END)) AS a,
+CASE WHEN n_likely = 0 THEN 3.0::DOUBLE ELSE 4.0::DOUBLE - CASE WHEN n_likely >= 3 AND single_tier THEN 0.5 ELSE 0.0 END - CASE WHEN n_likely >= 3 AND signal_types < 2 THEN 0.5 ELSE 0.0 END END AS b,
+CASE WHEN n_tests = 0 THEN CASE test_reason WHEN 'is_test' THEN 4.0::DOUBLE WHEN 'no_tests_nearby' THEN 3.0::DOUBLE ELSE 2.0::DOUBLE END ELSE 4.0::DOUBLE - CASE WHEN n_direct = 0 THEN 1.0 ELSE 0.0 END - CASE WHEN n_tests >= 2 AND n_direct = 0 THEN 0.5 ELSE 0.0 END END AS c,
+CASE WHEN n_related = 0 THEN 2.5::DOUBLE ELSE 4.0::DOUBLE - CASE WHEN n_related >= 3 AND NOT informative THEN 0.5 ELSE 0.0 END END AS d,
+CASE WHEN blast_level IS NULL THEN 1.0::DOUBLE ELSE greatest(1.0::DOUBLE, 4.0::DOUBLE - CASE WHEN blast_level NOT IN ('high', 'medium', 'low') THEN 2.0 ELSE 0.0 END - CASE WHEN blast_detail = '' THEN 1.0 ELSE 0.0 END
+- CASE WHEN blast_level = 'high' AND n_likely < 3 THEN 0.5 ELSE 0.0 END - CASE WHEN blast_level = 'low' AND n_likely > 10 THEN 0.5 ELSE 0.0 END) END AS e FROM graded),
+o AS (SELECT *, floor((a * 0.40::DOUBLE + b * 0.20::DOUBLE + c * 0.15::DOUBLE + d * 0.15::DOUBLE + e * 0.10::DOUBLE) * 10000 + 0.5) / 10000 AS overall FROM g)"""
+
+
+@query(f"WITH {GRADES} SELECT id, a AS g_must_read, b AS g_likely_modify, c AS g_tests, d AS g_related, e AS g_blast, overall, CASE WHEN overall >= 3.5 THEN 'A' WHEN overall >= 2.5 THEN 'B' WHEN overall >= 1.5 THEN 'C' ELSE 'D' END AS letter FROM o")
+def grd_rubric(r, spark, d):
+    x = quality.grade(r("graded")).withColumn("overall", F.floor(F.col("overall") * 10000 + 0.5) / 10000)
+    return x.select("id", "g_must_read", "g_likely_modify", "g_tests", "g_related", "g_blast", "overall", quality.letter(F.col("overall")).alias("letter"))
+
+
+@query(f"WITH {GRADES} SELECT {', '.join(f'floor(avg({k}) * 1000000 + 0.5) / 1000000 AS {n}' for k, n in zip('abcde', ('must_read', 'likely_modify', 'tests', 'related', 'blast'), strict=True))} FROM g")
+def agg_section_averages(r, spark, d):
+    x = quality.section_averages(quality.grade(r("graded"))).drop("overall")
+    return x.select(*[(F.floor(F.col(c) * 1000000 + 0.5) / 1000000).alias(c) for c in x.columns])
+
+
+@query(
+    """WITH l AS (SELECT c_custkey AS k, list_distinct(['f' || c_custkey % 3, 'f' || c_custkey % 5]) AS want, list_distinct(['f' || c_custkey % 3, 'f' || c_custkey % 4]) AS got FROM customer)
+SELECT CAST(k AS VARCHAR) AS subject, len(list_intersect(want, got))::DOUBLE / len(want) AS must_read_recall, len(list_intersect(want, got))::DOUBLE / len(got) AS must_read_precision,
+len(list_intersect(want, got))::DOUBLE / len(want) >= 0.95 AND len(list_intersect(want, got))::DOUBLE / len(got) >= 0.8 AND NOT list_contains(got, 'f2') AS passed FROM l"""
+)
+def val_compare(r, spark, d):
+    k = F.col("c_custkey")
+    name = lambda n: F.concat(F.lit("f"), (k % n).cast("string"))
+    none = F.array().cast("array<string>")
+    c = table(spark, d, "customer").withColumn("subject", k.cast("string"))
+    want = c.select("subject", F.array(name(3), name(5)).alias("must_read"), F.array(F.lit("f2")).alias("must_read_forbidden"), *[none.alias(x) for x in ("must_read_ordered", "related", "related_forbidden", "tests", "ignore_must_contain", "external", "expect_stable")])
+    got = c.select("subject", F.array_distinct(F.array(name(3), name(4))).alias("must_read"), *[none.alias(x) for x in ("likely_modify", "related", "tests", "external", "stable")])
+    return quality.compare(want, got).select("subject", "must_read_recall", "must_read_precision", "passed")
+
+
+@query(
+    """SELECT path, CASE WHEN ends_with(path, '.py') THEN 'python' WHEN ends_with(path, '.ts') THEN 'typescript' WHEN ends_with(path, '.go') THEN 'go' WHEN ends_with(path, '.rs') THEN 'rust' WHEN ends_with(path, '.cs') THEN 'csharp' END AS language,
+regexp_matches(path, '^(node_modules/|x[.]egg-info/)') OR contains(path, '/.cache/') AS skipped, ends_with(path, '.test.ts') AS is_test,
+CASE WHEN strpos(path, '/') = 0 THEN '.' WHEN starts_with(path, 'packages/') THEN regexp_extract(path, '^packages/[^/]*') ELSE regexp_extract(path, '^[^/]*') END AS group_key FROM named"""
+)
+def src_walk(r, spark, d):
+    p = F.col("path")
+    return r("named").select(p, P.language(p).alias("language"), P.is_skipped(p).alias("skipped"), P.is_test(p).alias("is_test"), P.group_key(p).alias("group_key"))
+
+
+@query(f"WITH {WINDOWED} SELECT path, partner, frequency FROM sym")
+def set_symmetric(r, spark, d):
+    return signals.symmetric(signals.co_change(_history(r)))
+
+
+@query("SELECT DISTINCT src_file, dst_file FROM edges SEMI JOIN (SELECT path AS src_file FROM changed) USING (src_file)")
+def joi_forward_batch(r, spark, d):
+    return r("edges").join(r("changed").select(F.col("path").alias("src_file")), "src_file", "left_semi").distinct()
+
+
+@query("SELECT date_trunc('day', created_at) AS start, tool, count(*) AS n, CAST(sum(file_count) AS BIGINT) AS files FROM usage_log GROUP BY 1, 2")
+def str_usage_rollup(r, spark, d):
+    from ferngraph.streaming.usage import rollup
+
+    x = rollup(r("usage_log").withColumn("created_at", F.col("created_at").cast("timestamp")))
+    return x.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the sections of every file, from one neighbourhood search."""
     return QUERIES["rnk_sections"](spark, sf_dir)
