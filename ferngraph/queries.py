@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ferngraph.adapters import relation, with_views
 from ferngraph.functions import paths as P
 from ferngraph.operators import change, neighbourhood, quality, ranking, signals, telemetry
-from ferngraph.session import table
+from ferngraph.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -186,10 +186,13 @@ scored AS (SELECT *, CASE WHEN distance = 0 THEN 100.0::DOUBLE ELSE base + least
 
 
 def _scored(r) -> DataFrame:
-    s = _signals(r)
-    h = _history(r)
-    c = neighbourhood.collect(r("files").select(F.col("path").alias("subject")), r("edges"))
-    x = ranking.enrich(c, s, signals.churn(h), signals.co_change(h))
+    """Scored candidates of every file.  Signals, history and neighbourhoods are read several
+    times each, so they are tables."""
+    edges = written(r("edges"), "edges")
+    s = written(signals.degree_signals(r("files"), edges), "signals")
+    h = written(_history(r), "history")
+    c = written(neighbourhood.collect(r("files").select(F.col("path").alias("subject")), edges), "candidates")
+    x = ranking.enrich(c, s, written(signals.churn(h), "churn"), written(signals.co_change(h), "pairs"))
     return ranking.score(x, s.agg(F.max("indegree").alias("max_indegree")))
 
 
@@ -403,7 +406,7 @@ risk AS (SELECT path, status, indexed, direct, CAST(s AS BIGINT) AS risk_score,
 
 
 def _risk(r) -> DataFrame:
-    c, s = r("changed"), _signals(r)
+    c, s = r("changed"), written(_signals(r), "signals")
     near = neighbourhood.direct(c.select(F.col("path").alias("subject")), r("edges"))
     nb = near.groupBy(F.col("subject").alias("path")).agg(
         F.count(F.when(F.col("is_importer"), 1)).alias("importers"), F.count(F.when(F.col("is_importer") & F.col("is_import"), 1)).alias("mutual"), F.max(P.is_test(F.col("path")) & F.col("is_importer")).alias("has_dependency")
