@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferngraph.llm import kernel, setjoin
-from ferngraph.session import ship, written
+from ferngraph.session import extended, ship, written
 
-NEAREST = 1
+NEAREST = 2
 
 
 def _grams(buf: np.ndarray, bounds: np.ndarray, i: int, j: int, k: int):
@@ -92,11 +92,17 @@ def _postings(k: int, num: int, den: int, rank):
 def _sets(k: int, wanted):
     def run(batches):
         for v, r, ids, n in _distinct_sets(batches, k):
-            has = wanted.value.has(ids)
-            size = np.bincount(r, minlength=n)
-            end = np.cumsum(size)
-            at = np.flatnonzero(has & (size > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([v[end[x] - size[x] : end[x]].tobytes() for x in at], pa.binary())], ["set", "elements"])
+            at = np.flatnonzero(wanted.value.has(ids) & (np.bincount(r, minlength=n) > 0))
+            yield setjoin.set_rows(v, r, ids, at)
+
+    return run
+
+
+def _wide(k: int, wanted):
+    def run(batches):
+        for v, r, ids, n in _distinct_sets(batches, k):
+            at = np.flatnonzero(wanted.value.has(ids) & (np.bincount(r, minlength=n) > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), *[pa.array(w[at]) for w in setjoin.wide_bits(v, r, n)]], ["set", *[f"w{x}" for x in range(setjoin.WIDE)]])
 
     return run
 
@@ -105,15 +111,14 @@ def classes(docs: DataFrame, text: str, keep: list[str], k: int) -> tuple[DataFr
     """(rows (keep..., n, set), sketch rows (block, counts))."""
     shown = docs.select(F.col(text).alias("_text"), *keep)
     ship(docs.sparkSession)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[1:]), "n long, set long, block int, counts binary"])
-    made = written(shown.mapInArrow(_classes(k), schema), "classes")
+    made = written(shown.mapInArrow(_classes(k), extended(shown, 1, "n long, set long, block int, counts binary")), "classes")
     return made.where("n is not null").select(*keep, "n", "set"), made.where("block is not null").select("block", "counts")
 
 
 def _fetch(docs: DataFrame, text: str, k: int, pairs: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     wanted = docs.sparkSession.sparkContext.broadcast(setjoin.id_filter(ids, "set"))
-    return docs.select(text).mapInArrow(_sets(k, wanted), "set long, elements binary").groupBy("set").agg(F.first("elements").alias("elements"))
+    return setjoin.once(docs.select(text).mapInArrow(_sets(k, wanted), setjoin.SETS))
 
 
 def links(docs: DataFrame, text: str, sketch: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -130,9 +135,16 @@ def links(docs: DataFrame, text: str, sketch: DataFrame, k: int, num: int, den:
     posts = written(posts, "open")
     size = posts.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = size.groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
-    mixed = posts.join(main, "key")
+    mixed = written(posts.join(main, "key"), "mixed")
+    if mixed.isEmpty():
+        return edges
+    # these few sets get wider bitmaps, so that hardly any pair meets in vain
+    wanted = spark.sparkContext.broadcast(setjoin.id_filter(mixed.select("set").distinct(), "set"))
+    names = [f"w{x}" for x in range(setjoin.WIDE)]
+    wide = docs.select(text).mapInArrow(_wide(k, wanted), ", ".join(["set long", *(f"{w} long" for w in names)]))
+    mixed = written(mixed.join(wide.groupBy("set").agg(*[F.first(w).alias(w) for w in names]), "set"), "mixed")
     one, every = setjoin.side(mixed.where("comp <> main").drop("main"), "x"), setjoin.side(mixed.drop("main"), "y")
-    more = one.join(every, "key").where("x_comp <> y_comp").where(setjoin.pass_filters("x", "y", num, den))
+    more = one.join(every, "key").where("x_comp <> y_comp").where(setjoin.pass_filters("x", "y", num, den)).where(setjoin.pass_wide("x", "y", num, den))
     more = more.select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b")).distinct()
     more = written(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
     if more.isEmpty():
@@ -153,11 +165,11 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The documents without those that are alike to an earlier one: of each component the
-    one of the smallest id stays (of equal ids, the least row by hash); empty texts all stay."""
-    row = F.xxhash64(*docs.columns)
-    keyed = docs.withColumn("_row", row)
-    found = join(keyed, doc_id, text, k, num, den, keep=["_row"])
+    one of the smallest id stays (of equal ids, the least row by hash); empty texts all stay.
+    Rows equal in all columns are one document."""
+    keyed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(*docs.columns).alias("_row"), F.struct(*docs.columns).alias("_doc"))
+    found = join(keyed, "_id", "_text", k, num, den, keep=["_row"])
     single = found.where("n_shingles = 0").select("_row")
-    best = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col(doc_id).isNull(), doc_id, "_row")).alias("x")).select("x._row")
+    best = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("x")).select("x._row")
     stay = single.unionByName(best).distinct()
-    return keyed.join(stay, "_row", "left_semi").drop("_row")
+    return keyed.join(stay, "_row", "left_semi").dropDuplicates(["_row"]).select("_doc.*")
