@@ -143,8 +143,9 @@ def links(docs: DataFrame, text: str, sketch: DataFrame, k: int, num: int, den:
     names = [f"w{x}" for x in range(setjoin.WIDE)]
     wide = docs.select(text).mapInArrow(_wide(k, wanted), ", ".join(["set long", *(f"{w} long" for w in names)]))
     mixed = written(mixed.join(wide.groupBy("set").agg(*[F.first(w).alias(w) for w in names]), "set"), "mixed")
-    one, every = setjoin.side(mixed.where("comp <> main").drop("main"), "x"), setjoin.side(mixed.drop("main"), "y")
-    more = one.join(every, "key").where("x_comp <> y_comp").where(setjoin.pass_filters("x", "y", num, den)).where(setjoin.pass_wide("x", "y", num, den))
+    one, every = setjoin.side(mixed.where("comp <> main"), "x"), setjoin.side(mixed, "y")
+    # two sets outside the main component of their run meet once
+    more = one.join(every, "key").where("x_comp <> y_comp AND (y_comp = y_main OR x_set < y_set)").where(setjoin.pass_filters("x", "y", num, den)).where(setjoin.pass_wide("x", "y", num, den))
     more = more.select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b")).distinct()
     more = written(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
     if more.isEmpty():
