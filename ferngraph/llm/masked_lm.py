@@ -1,15 +1,20 @@
 """LM scoring by masked pseudo-likelihood.
 
-A small network predicts each word from the two words on either side of it; a document's
-score is the sum of log P(word | both sides) over all its words.  Words (runs of other
-characters than ASCII white space, A-Z in lower case) are hashed to 65,536 cells; the
-commonest cells are classes of their own, the others share classes by frequency.  The
-network predicts the class, corpus frequency the cell within it.
-
-The network sees contexts as classes, so counts of (context, class) over the whole corpus
-are all that its training needs: every task counts its share, the counts are added up in
-two steps, and numpy trains the network on them.  Training time doesn't depend on the
-input, no word is left out, and reruns agree whatever the partitions.
+Each word is predicted from the words on either side of it; a document's score is the sum
+of log P(word | both sides) over all its words.  Words are runs of other characters than
+ASCII white space, A-Z in lower case; each is an entry of its own under a 64-bit hash.
+
+Gathered are the counts of all words and of all pairs of neighbours in the corpus, a table
+that grows with it.  The commonest words are classes of their own, the others share classes
+by frequency.  A small network predicts the class from the classes of two words on each
+side; it trains on counts of (context, class) over all words.  Class times frequency within
+the class is what the pair counts are smoothed with: P is the mean of
+(n(left, word) + MU * base) / (n(left) + MU) and the same of the right side, each of which
+sums to 1 over all words and one unseen word.
+
+No table of words is held by a task: texts are dealt into blocks, the distinct words and
+pairs of a block are joined with the counts, and come back to the block.  No word is left
+out, and reruns agree whatever the partitions.
 
 Defined results: null, empty and blank texts have no words, score 0 and a null mean; an
 empty corpus gives a uniform model.
@@ -19,13 +24,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ferngraph.llm import kernel, setjoin
-from ferngraph.session import extended, ship
+from ferngraph.llm import kernel
+from ferngraph.session import extended, ship, written
 
-CELLS = 1 << 16
+#: Bytes of text whose words are looked up together.
+BLOCK = 1 << 22
+#: Weight of the smoothing, in words.
+MU = 50.0
 #: Class 0 is the edge of a text.
 CLASSES = 32
 COARSE = 4
@@ -33,8 +43,16 @@ HIDDEN = 24
 CONTEXTS = COARSE * CLASSES * CLASSES * COARSE
 
 
-def _cells(w: kernel.Words) -> np.ndarray:
-    return (w.hash >> np.uint64(48)).astype(np.int64)
+def _pairs(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the left word, key) of all neighbours in one text."""
+    at = np.flatnonzero(w.row[1:] == w.row[:-1])
+    return at, kernel.mix(w.hash[at] * kernel.GRAM_MULT[0] + w.hash[at + 1] * kernel.GRAM_MULT[1])
+
+
+def _ends(w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first and the last words of the texts."""
+    some = np.diff(w.first) > 0
+    return w.first[:-1][some], w.first[1:][some] - 1
 
 
 def _context(w: kernel.Words, cls: np.ndarray, coarse: np.ndarray) -> np.ndarray:
@@ -50,34 +68,116 @@ def _context(w: kernel.Words, cls: np.ndarray, coarse: np.ndarray) -> np.ndarray
     return ((coarse[side(-2)] * CLASSES + side(-1)) * CLASSES + side(1)) * COARSE + coarse[side(2)]
 
 
-def _counting(make, size: int):
-    """mapInArrow function that adds up ``make(words)`` (cell numbers) over a task."""
-
+def _tally(batches):
+    """(word, key, n, first, last) of the words and pairs of each block; first and last count
+    the words that open and close a text."""
+    for b in batches:
+        buf, bounds = kernel.buffers(b.column(0))
+        for i, j in kernel.chunks(bounds, BLOCK):
+            w = kernel.Words(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            words, of = np.unique(w.hash, return_inverse=True)
+            pairs, n = np.unique(_pairs(w)[1], return_counts=True)
+            none = np.zeros(len(pairs), np.int64)
+            per = [np.bincount(x, minlength=len(words)) for x in (of, *(of[e] for e in _ends(w)))]
+            cols = [np.arange(len(words) + len(pairs)) < len(words), np.concatenate((words, pairs)).view(np.int64), np.concatenate((per[0], n)), np.concatenate((per[1], none)), np.concatenate((per[2], none))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["word", "key", "n", "first", "last"])
+
+
+def _deal(batches):
+    """Numbers the blocks: _block before the other columns."""
+    task, k = TaskContext.get().partitionId() << 32, 0
+    for b in batches:
+        _, bounds = kernel.buffers(b.column(0))
+        for i, j in kernel.chunks(bounds, BLOCK):
+            part = b.slice(i, j - i)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, task + k)), *part.columns], ["_block", *b.schema.names])
+            k += 1
+
+
+def _wanted(pairs: bool):
     def run(batches):
-        total = np.zeros(size, np.int64)
         for b in batches:
-            buf, bounds = kernel.buffers(b.column(0))
-            for i, j in kernel.chunks(bounds):
+            block = b.column(0).to_numpy()
+            buf, bounds = kernel.buffers(b.column(1))
+            cuts = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)])) if len(block) else []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                 w = kernel.Words(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                total += np.bincount(make(w), minlength=size)
-        if total.any():
-            block, counts = setjoin.sketch_rows(total)
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(counts, pa.binary())], ["block", "counts"])
+                words = np.unique(w.hash)
+                keys = np.concatenate((words, np.unique(_pairs(w)[1]))) if pairs else words
+                cols = [np.full(len(keys), block[i]), np.arange(len(keys)) < len(words), keys.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_block", "word", "key"])
 
     return run
 
 
-def classes(count: np.ndarray) -> np.ndarray:
-    """Class of each cell: the commonest get one each, the rest share the others by frequency."""
-    own = (CLASSES - 1) * 3 // 4
-    order = np.argsort(-count, kind="stable")
-    out = np.empty(CELLS, np.int64)
-    out[order[:own]] = np.arange(1, own + 1)
-    rest = order[own:]
-    # equal shares of the remaining mass
-    mass = np.cumsum(count[rest] + 1e-3)
-    out[rest] = own + 1 + np.minimum((mass / mass[-1] * (CLASSES - 1 - own)).astype(np.int64), CLASSES - 2 - own)
-    return out
+def _with_counts(df: DataFrame, counts: DataFrame, pairs: bool, run, schema) -> DataFrame:
+    """``run(rows, counts)`` for each block of ``df``, whose first column is the text, with the
+    counts of its words, and of its pairs if asked for."""
+    fields = StructType([StructField("_block", LongType()), *extended(df, 0, "x int").fields[:-1]])
+    dealt = written(df.mapInArrow(_deal, fields), "blocks")
+    table = counts if pairs else counts.where("word")
+    met = dealt.select("_block", df.columns[0]).mapInArrow(_wanted(pairs), "_block long, word boolean, key long").join(table, ["word", "key"])
+    return met.groupBy("_block").cogroup(dealt.groupBy("_block")).applyInArrow(run, schema)
+
+
+class Found:
+    """Counts of a block's words and pairs, by their keys."""
+
+    def __init__(self, table: pa.Table):
+        word = table.column("word").to_numpy()
+        key = table.column("key").to_numpy().view(np.uint64)
+        self.of = {}
+        for kind in (True, False):
+            at = np.flatnonzero(word == kind)
+            at = at[np.argsort(key[at])]
+            self.of[kind] = (key[at], *(table.column(c).to_numpy()[at] for c in ("n", "first", "last")))
+
+    def __call__(self, keys: np.ndarray, kind: bool) -> list[np.ndarray]:
+        """n, first and last of each key; 0 where there is none."""
+        have, *counts = self.of[kind]
+        if not len(have):
+            return [np.zeros(len(keys), np.int64)] * 3
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        return [np.where(have[at] == keys, c[at], 0) for c in counts]
+
+
+class Classes:
+    """Class of each word: the commonest have one each, the rest share the others by frequency,
+    in equal shares of their mass.  ``base`` is log P(word | class)."""
+
+    OWN = (CLASSES - 1) * 3 // 4
+
+    def __init__(self, counts: DataFrame):
+        words = counts.where("word")
+        own = words.orderBy(F.desc("n"), "key").limit(self.OWN).collect()
+        hist = dict(words.groupBy("n").count().collect())
+        for r in own:
+            hist[r["n"]] -= 1
+        self.texts = words.agg(F.coalesce(F.sum("first"), F.lit(0))).first()[0]
+        keys = np.array([r["key"] for r in own], np.int64).view(np.uint64)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.size = np.array(sorted(hist), np.int64)
+        many = np.array([hist[n] for n in self.size.tolist()], np.int64)
+        mass = (self.size * many).astype(np.float64)
+        above = mass[::-1].cumsum()[::-1] - mass / 2
+        share = above / max(mass.sum(), 1.0)
+        rest = CLASSES - 1 - self.OWN
+        self.by_size = self.OWN + 1 + np.minimum((share * rest).astype(np.int64), rest - 1)
+        # one word more in the rarest class: any unseen one
+        self.room = np.bincount(self.by_size, mass + many, CLASSES)
+        self.room[CLASSES - 1] += 1
+
+    def __call__(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, base) of words by key and count."""
+        if not len(self.size):
+            return np.full(len(keys), CLASSES - 1), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.size, n), len(self.size) - 1)
+        cls = np.where(n > 0, self.by_size[at], CLASSES - 1)
+        base = np.log((n + 1.0) / np.maximum(self.room[cls], n + 1.0))
+        own = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[own] == keys
+        return np.where(hit, 1 + self.order[own], cls), np.where(hit, 0.0, base)
 
 
 class Network:
@@ -133,59 +233,72 @@ class Network:
 
 
 class Model:
-    def __init__(self, cls: np.ndarray, coarse: np.ndarray, within: np.ndarray, log_p: np.ndarray, losses: list[float]):
-        self.cls, self.coarse, self.within, self.log_p, self.losses = cls, coarse, within, log_p, losses
+    """``counts``: (word, key, n, first, last), a table as large as the corpus asks for."""
+
+    def __init__(self, counts: DataFrame, cls: Classes, coarse: np.ndarray, log_p: np.ndarray, losses: list[float]):
+        self.counts, self.cls, self.coarse, self.log_p, self.losses = counts, cls, coarse, log_p, losses
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """Count over all texts, then train."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.where(F.col(text).isNotNull()).select(text)
-    kind = "block int, counts binary"
-    count = setjoin.summed(rows.mapInArrow(_counting(_cells, CELLS), kind), CELLS).astype(np.float64)
-    cls = classes(count)
-    per = np.bincount(cls, count + 1.0, minlength=CLASSES)
-    within = np.log((count + 1.0) / per[cls])
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
+    tally = rows.mapInArrow(_tally, "word boolean, key long, n long, first long, last long")
+    counts = written(tally.groupBy("word", "key").agg(*[F.sum(c).alias(c) for c in ("n", "first", "last")]), "counts")
+    classes = Classes(counts)
     coarse = np.concatenate(([0], 1 + np.arange(CLASSES - 1) * (COARSE - 1) // (CLASSES - 1)))
-    shared = spark.sparkContext.broadcast((cls, coarse))
-
-    def joint(w):
-        cls, coarse = shared.value
-        c = cls[_cells(w)]
-        return _context(w, c, coarse) * CLASSES + c
-
-    counts = setjoin.summed(rows.mapInArrow(_counting(joint, CONTEXTS * CLASSES), kind), CONTEXTS * CLASSES)
+    shared = spark.sparkContext.broadcast((classes, coarse))
+
+    def joint(found: pa.Table, block: pa.Table) -> pa.Table:
+        classes, coarse = shared.value
+        w = kernel.Words(*kernel.buffers(block.column("_text")))
+        c, _ = classes(w.hash, Found(found)(w.hash, True)[0])
+        cell, n = np.unique(_context(w, c, coarse) * CLASSES + c, return_counts=True)
+        return pa.table({"cell": pa.array(cell.astype(np.int32)), "n": pa.array(n)})
+
+    summed = _with_counts(rows, counts, False, joint, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    met = np.zeros(CONTEXTS * CLASSES)
+    met[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
     net = Network()
-    losses = net.train(counts.astype(np.float64).reshape(CONTEXTS, CLASSES))
-    return Model(cls, coarse, within.astype(np.float32), net.log_p().astype(np.float32), losses)
-
-
-def _score(shared):
-    def run(batches):
-        m = shared.value
-        for b in batches:
-            buf, bounds = kernel.buffers(b.column(0))
-            size, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for i, j in kernel.chunks(bounds):
-                w = kernel.Words(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                cell = _cells(w)
-                c = m.cls[cell]
-                lp = m.log_p[_context(w, c, m.coarse), c].astype(np.float64) + m.within[cell]
-                size[i:j] = np.diff(w.first)
-                total[i:j] = np.bincount(w.row, lp, minlength=j - i)
-            mean = pa.array(total / np.maximum(size, 1), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(size), pa.array(total), mean], [*b.schema.names[1:], "n_words", "log_likelihood", "mean_log_likelihood"])
+    losses = net.train(met.reshape(CONTEXTS, CLASSES))
+    return Model(counts, classes, coarse, net.log_p().astype(np.float32), losses)
+
+
+def _score(shared, keep: list[str], fitted: bool):
+    own = int(fitted)
+
+    def run(found: pa.Table, block: pa.Table) -> pa.Table:
+        classes, coarse, log_p = shared.value
+        w = kernel.Words(*kernel.buffers(block.column("_text")))
+        look = Found(found)
+        n, first, last = look(w.hash, True)
+        c, base = classes(w.hash, n)
+        base = np.exp(log_p[_context(w, c, coarse), c] + base)
+        # of each word: how often it stands beside this neighbour, and how often the neighbour has one
+        at, key = _pairs(w)
+        met = look(key, False)[0]
+        with_left, left, with_right, right = first.copy(), np.full(len(n), classes.texts), last.copy(), np.full(len(n), classes.texts)
+        with_left[at + 1], left[at + 1] = met, (n - last)[at]
+        with_right[at], right[at] = met, (n - first)[at + 1]
+        side = lambda a, b: (np.maximum(a - own, 0) + MU * base) / (np.maximum(b - own, 0) + MU)
+        lp = np.log((side(with_left, left) + side(with_right, right)) / 2)
+        size = np.diff(w.first)
+        total = np.bincount(w.row, lp, minlength=len(size)).astype(np.float64)
+        mean = pa.array(total / np.maximum(size, 1), mask=size == 0)
+        return pa.table([*[block.column(k) for k in keep], pa.array(size), pa.array(total), mean], names=[*keep, "n_words", "log_likelihood", "mean_log_likelihood"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, fitted: bool = False) -> DataFrame:
     """``keep`` columns (default: all) with n_words, log_likelihood and its mean per word,
-    which replace columns of these names."""
+    which replace columns of these names.  ``fitted``: the texts are those of the model, so
+    each word is left out of the pair counts it is predicted from."""
     own = ("n_words", "log_likelihood", "mean_log_likelihood")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
     ship(docs.sparkSession)
     x = docs.select(F.col(text).alias("_text"), *keep)
     schema = extended(x, 1, "n_words long, log_likelihood double, mean_log_likelihood double")
-    return x.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    shared = docs.sparkSession.sparkContext.broadcast((model.cls, model.coarse, model.log_p))
+    return _with_counts(x, model.counts, True, _score(shared, keep, fitted), schema)

@@ -58,7 +58,7 @@ def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return masked_lm.score(docs, masked_lm.fit(docs), keep=["doc_id"])
+    return masked_lm.score(docs, masked_lm.fit(docs), keep=["doc_id"], fitted=True)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,6 +201,28 @@ def test_masked_lm(spark, data):
     assert masked_lm.fit(d.where("false")).losses == []
 
 
+def test_masked_lm_tells_words_of_a_class_apart(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    after = dict(zip(words[0::2], words[1::2], strict=True))
+    # all words are equally frequent, and each even one comes before its odd one
+    rows = []
+    for _ in range(30):
+        even = words[0::2]
+        rng.shuffle(even)
+        rows.append((len(rows), " ".join(f"{w} {after[w]}" for w in even)))
+    model = masked_lm.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert model.counts.where("word").agg(F.count("*"), F.sum("n")).first()[:] == (400, 12000)
+    texts = [(1, "w100 w101 w200 w201"), (2, "w100 w201 w200 w101"), (3, "w100 w101 w200 unseen")]
+    got = {r.doc_id: r.log_likelihood for r in masked_lm.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert got[1] > got[2] + 2 and got[1] > got[3] + 2
+    # a text that occurs once more is told apart from one that occurs once
+    twice = [(k, " ".join(f"u{k}x{i}" for i in range(20))) for k in (1, 2)] + [(3, " ".join(f"u1x{i}" for i in range(20)))]
+    df = spark.createDataFrame([*twice, *((k + 10, t) for k, t in rows)], "doc_id long, text string")
+    own = {r.doc_id: r.mean_log_likelihood for r in masked_lm.score(df, masked_lm.fit(df), fitted=True).collect()}
+    assert own[1] == own[3] > own[2] + 0.5
+
+
 def test_chroma(spark):
     rng = random.Random(2)
     tune = bytes(rng.randrange(256) for _ in range(6000))
