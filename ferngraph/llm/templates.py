@@ -3,10 +3,10 @@
 Words are runs of letters and digits.  Numbers, names (capitalised words inside a
 sentence) and units (after a number) become typed slots; all else stays, in lower case.
 Windows of ``WINDOW`` words of the benchmark are hashed and looked up for every window of
-every document.  Hits on one diagonal (document position less item position) must agree on
-their slots: one value of the item always stands for one value in the document, and the
-other way round.  A question with other numbers or names is thus found, a chance
-likeness of its slots is not.
+every document.  All hits on one diagonal (document position less item position) must agree on
+their slots, within a window and between windows: one value of the item always stands for one
+value in the document, and the other way round; else the diagonal is no hit.  A question
+with other numbers or names is thus found, a chance likeness of its slots is not.
 
 Only windows with at least ``LITERALS`` words outside slots count.  Items of fewer than
 ``WINDOW`` words are looked up whole; items with fewer than ``LITERALS`` plain words are
@@ -159,15 +159,14 @@ def _look_up(shared):
                 for (r, item, _), windows in sorted(by.items()):
                     to: dict[int, int] = {}
                     back: dict[int, int] = {}
-                    good, first, changed = 0, None, False
-                    for p, w, e in sorted(windows):
+                    first, changed, agree = min(windows)[0], False, True
+                    for _, w, e in sorted(windows):
                         s = slots[e]
-                        pairs = [(s[q + 1], int(c.value[w + s[q]].view(np.int64))) for q in range(0, len(s), 2)]
-                        if all(to.get(u, v) == v and back.get(v, u) == u for u, v in pairs):
-                            to.update(pairs)
-                            back.update((v, u) for u, v in pairs)
-                            good, first = good + 1, p if first is None else first
-                            changed |= any(u != v for u, v in pairs)
+                        for q in range(0, len(s), 2):
+                            u, v = s[q + 1], int(c.value[w + s[q]].view(np.int64))
+                            agree &= to.setdefault(u, v) == v and back.setdefault(v, u) == u
+                            changed |= u != v
+                    good = len(windows) if agree else 0
                     if good:
                         old = found.get((r, item))
                         share = min(1.0, good / int(of[windows[0][2]]))

@@ -184,6 +184,17 @@ def test_template_slots_must_agree(spark):
     assert got[1] > got.get(2, 0)
 
 
+def test_template_slots_that_contradict_are_no_hit(spark):
+    bench = spark.createDataFrame([(1, "if you add 5 apples to 5 pears you then have 10 pieces of fruit")], "item_id long, text string")
+    head = "if you add {} apples to {} pears you then have {} pieces of fruit"
+    rows = [(k, head.format(*v), "en", "s") for k, v in enumerate([(5, 5, 10), (7, 7, 14), (7, 8, 15), (7, 7, 7)])]
+    # one value for another inside a window, then against another window
+    rows.append((4, "you add 7 apples to 8 pears you then", "en", "s"))
+    found = templates.find(docs(spark, rows), bench).select("doc_id", F.explode("_hits").alias("h")).collect()
+    assert {r.doc_id: r.h.changed for r in found} == {0: False, 1: True}
+    assert {r.doc_id for r in templates.clean(docs(spark, rows), bench).collect()} == {2, 3, 4}
+
+
 def test_masked_lm(spark, data):
     d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     model = masked_lm.fit(d)
