@@ -8,9 +8,11 @@ their slots, within a window and between windows: one value of the item always s
 value in the document, and the other way round; else the diagonal is no hit.  A question
 with other numbers or names is thus found, a chance likeness of its slots is not.
 
-Only windows with at least ``LITERALS`` words outside slots count.  Items of fewer than
-``WINDOW`` words are looked up whole; items with fewer than ``LITERALS`` plain words are
-never found.  Defined results: null and empty texts have no hits; equal items share
+Windows with fewer than ``LITERALS`` words outside slots are looked up by their exact words,
+values included.  The first word of a window may be plain in one text and a name or a unit in
+the other, as what stands before it differs: such windows are taken both ways.  Items of fewer
+than ``WINDOW`` words are looked up whole; items of fewer than ``LITERALS`` words of any kind
+are not looked up.  Defined results: null and empty texts have no hits; equal items share
 their hits, under the smallest id; repeated documents are judged alike.
 """
 
@@ -41,6 +43,8 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+ALL, REST, NONE = 0, 1, 2
+_EXACT = np.uint64(0x456712345)
 _SLOT = np.array([0x1234567, 0x2345671, 0x3456712], np.uint64)
 
 
@@ -92,18 +96,24 @@ class Canon:
         self.value, self.row = value, row
         self.first = np.searchsorted(row, np.arange(len(bounds)))
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of the windows of k words that lie in one text and tell something."""
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, hash, what it leaves to slots) of the windows of k words in one text.
+        The last is ALL, REST (the first word stands as it is) or NONE (exact words)."""
         n = len(self.token) - k + 1
         if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        h = np.full(n, np.uint64(k))
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        h, exact = np.full(n, np.uint64(k)), np.full(n, _EXACT + np.uint64(k))
         for j in range(k):
             h = h + self.token[j : j + n] * kernel.GRAM_MULT[j]
+            exact = exact + self.value[j : j + n] * kernel.GRAM_MULT[j]
         plain = np.concatenate(([0], np.cumsum(~self.slot)))
-        ok = (self.row[:n] == self.row[k - 1 :]) & (plain[k:] - plain[:-k] >= LITERALS)
-        at = np.flatnonzero(ok)
-        return at, kernel.mix(h[at])
+        plain = plain[k:] - plain[:-k]
+        inside = self.row[:n] == self.row[k - 1 :]
+        loose = inside & self.slot[:n] & (self.token[:n] != _SLOT[0])
+        rest = h + (self.value[:n] - self.token[:n]) * kernel.GRAM_MULT[0]
+        found = [(np.flatnonzero(ok), x, kind) for ok, x, kind in ((inside & (plain >= LITERALS), h, ALL), (loose & (plain + 1 >= LITERALS), rest, REST), (inside & (plain < LITERALS), exact, NONE))]
+        at = np.concatenate([x[0] for x in found])
+        return at, kernel.mix(np.concatenate([x[1][x[0]] for x in found])), np.repeat([x[2] for x in found], [len(x[0]) for x in found])
 
 
 def index(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -117,11 +127,11 @@ def index(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
             out: list[tuple] = []
             count = np.diff(c.first)
             for k in sorted({WINDOW, *(int(x) for x in count if LITERALS <= x < WINDOW)}):
-                at, h = c.windows(k)
-                for x, y in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                at, h, kinds = c.windows(k)
+                for x, y, kind in zip(at.tolist(), h.view(np.int64).tolist(), kinds.tolist(), strict=True):
                     r = int(c.row[x])
                     if k == min(WINDOW, int(count[r])):
-                        slots = [v for p in range(k) if c.slot[x + p] for v in (p, int(c.value[x + p].view(np.int64)))]
+                        slots = [v for p in range(int(kind == REST), k) if c.slot[x + p] for v in (p, int(c.value[x + p].view(np.int64)))]
                         out.append((y, k, ids[r], x - int(c.first[r]), slots, max(1, int(count[r]) - k + 1)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
@@ -145,7 +155,7 @@ def _look_up(shared):
                 c = Canon(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 by: dict[tuple, list] = {}
                 for k in lengths:
-                    at, h = c.windows(k)
+                    at, h, _ = c.windows(k)
                     some = maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
                     at, h = at[some], h[some]
                     lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
@@ -166,7 +176,7 @@ def _look_up(shared):
                             u, v = s[q + 1], int(c.value[w + s[q]].view(np.int64))
                             agree &= to.setdefault(u, v) == v and back.setdefault(v, u) == u
                             changed |= u != v
-                    good = len(windows) if agree else 0
+                    good = len({p for p, _, _ in windows}) if agree else 0
                     if good:
                         old = found.get((r, item))
                         share = min(1.0, good / int(of[windows[0][2]]))

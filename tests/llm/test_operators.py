@@ -195,6 +195,27 @@ def test_template_slots_that_contradict_are_no_hit(spark):
     assert {r.doc_id for r in templates.clean(docs(spark, rows), bench).collect()} == {2, 3, 4}
 
 
+def test_template_windows_of_few_plain_words_are_found_exactly(spark):
+    items = ["What is 15% of 80?", "Anna Berg, Carl Dahl, Emil Falk, Greta Holm", "Each of the boxes weighs 3 kg", "Alpha is the first letter"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [
+        "He asked: what is 15% of 80? Nobody knew.",
+        "He asked What is 15% of 80 and left.",
+        "What is 25% of 60?",
+        "Present were Anna Berg, Carl Dahl, Emil Falk, Greta Holm and others.",
+        "Present were Anna Berg, Carl Dahl, Emil Falk, Karin Holm and others.",
+        "It says Each of the boxes weighs 9 kg there.",
+        "They teach that Alpha is the first letter of it.",
+        "They teach that Gamma is the first letter of it.",
+    ]
+    found = templates.find(docs(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]), bench).select("doc_id", F.explode("_hits").alias("h")).collect()
+    assert {(r.doc_id, r.h.item, r.h.windows, r.h.changed) for r in found} == {(0, 0, 1, False), (1, 0, 1, False), (3, 1, 1, False), (5, 2, 1, True), (6, 3, 1, False)}
+    # an item's window that begins with a name, where the document begins a sentence
+    bench = spark.createDataFrame([(1, "the town of Lyon is where both of the rivers meet in spring")], "item_id long, text string")
+    df = docs(spark, [(1, "We went. Lyon is where both of the rivers meet, he said.", "en", "s")])
+    assert templates.find(df, bench).select("doc_id", F.explode("_hits.item")).collect() == [(1, 1)]
+
+
 def test_masked_lm(spark, data):
     d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
     model = masked_lm.fit(d)
