@@ -7,12 +7,15 @@ quantised to two bits (Gray code), so each frame position gives one 32-bit integ
 
 To align, integers of ``RUN`` neighbouring positions make a landmark; of each ``WINNOW``
 landmarks in a row the least by hash is posted, so any common stretch of that length
-shares one.  Postings that meet vote for an offset; the offset with most votes is checked
-by the share of differing bits over the whole overlap.
+shares one.  Recordings of at most ``WINNOW`` landmarks are short: where one of a pair is,
+all landmarks of both count.  Postings that meet vote for an offset; each offset with enough
+votes (fewer where few landmarks are posted) is checked by the share of differing bits over
+the whole overlap, and the best of those that pass is reported.
 
 Recordings with equal fingerprints are one class and are matched once.  Defined results:
-null media and media of fewer than ``WIDTH`` frames have no integers, are a class by
-themselves (one for all) and match nothing; media are read whole, in pieces.
+media of fewer than ``LEAST`` bytes are followed by silence up to there; null and empty
+media have no integers, are a class by themselves (each) and match nothing; media are
+read whole, in pieces.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ FRAME, HOP, RATE, WIDTH = 128, 32, 8000, 8
 RUN, WINNOW = 2, 8
 MIN_VOTES, MAX_ERROR = 2, 0.3
 PIECE = 1 << 18
+#: Bytes of a recording with one landmark.
+LEAST = FRAME + (WIDTH + RUN - 2) * HOP
+#: Bits of the filter of short queries' landmarks; it only spares postings that meet nothing.
+FILTER = 1 << 23
 # Fixed values: (kind, first pitch class, height, width in frames) of the 16 filters.
 FILTERS = (
     (0, 0, 12, 8), (0, 3, 6, 6), (1, 0, 12, 8), (1, 2, 8, 6), (2, 0, 12, 8), (2, 4, 4, 4), (3, 0, 12, 6), (3, 5, 6, 8),
@@ -90,27 +97,31 @@ def fingerprint(image: np.ndarray) -> np.ndarray:
 
 
 def landmarks(ints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of the winnowed landmarks."""
+    """(hash of each landmark, whether it is one of the winnowed)."""
     n = len(ints) - RUN + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, bool)
     h = np.zeros(n, np.uint64)
     for j in range(RUN):
         h = h + ints[j : j + n].astype(np.uint64) * kernel.GRAM_MULT[j]
     h = kernel.mix(h)
-    if n <= WINNOW:
-        at = np.array([int(h.argmin())])
-    else:
+    won = np.ones(n, bool)
+    if n > WINNOW:
         view = np.lib.stride_tricks.sliding_window_view(h, WINNOW)
-        at = np.unique(np.arange(len(view)) + view.argmin(1))
-    return at, h[at]
+        won[:] = False
+        won[np.arange(len(view)) + view.argmin(1)] = True
+    return h, won
+
+
+def _padded(pcm: np.ndarray) -> np.ndarray:
+    return np.concatenate((pcm, np.full(LEAST - len(pcm), 128, np.uint8))) if 0 < len(pcm) < LEAST else pcm
 
 
 def _prints(batches):
     names = None
     for b in batches:
         buf, bounds = kernel.buffers(b.column(0))
-        prints = [fingerprint(chroma(buf[bounds[k] : bounds[k + 1]])).astype("<u4").tobytes() for k in range(b.num_rows)]
+        prints = [fingerprint(chroma(_padded(buf[bounds[k] : bounds[k + 1]]))).astype("<u4").tobytes() for k in range(b.num_rows)]
         names = [*b.schema.names[1:], "ints"]
         yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(prints, pa.binary())], names)
 
@@ -122,45 +133,67 @@ def prints(df: DataFrame, media: Column, keep: list[str]) -> DataFrame:
     return x.mapInArrow(_prints, extended(x, 1, "ints binary"))
 
 
-def _post(batches):
-    for b in batches:
-        cls, keys, pos, size = [], [], [], []
-        for c, ints in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            at, h = landmarks(np.frombuffer(ints, "<u4"))
-            cls += [c] * len(at)
-            keys.append(h.view(np.int64))
-            pos.append(at)
-        key = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        at = np.concatenate(pos) if pos else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.string()), pa.array(key), pa.array(at.astype(np.int64))], ["class", "key", "pos"])
+POSTING = "class string, key long, pos long, won boolean, short boolean, posted int"
+
+
+def _post(wanted):
+    """Postings: all landmarks of short recordings; of the others the winnowed ones, and those
+    that ``wanted`` may ask for (a broadcast filter; None: all)."""
+
+    def run(batches):
+        asked = None if wanted is None else np.unpackbits(wanted.value, bitorder="little").view(bool)
+        for b in batches:
+            out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool), np.empty(0, np.int32))]
+            cls: list[str] = []
+            for c, ints in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h, won = landmarks(np.frombuffer(ints, "<u4"))
+                at = np.arange(len(h)) if asked is None else np.flatnonzero(won | asked[(h & np.uint64(FILTER - 1)).astype(np.int64)])
+                n = len(at)
+                cls += [c] * n
+                out.append((h[at].view(np.int64), at, won[at], np.full(n, len(h) <= WINNOW), np.full(n, won.sum(), np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.string()), *[pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]], [x.split()[0] for x in POSTING.split(", ")])
+
+    return run
 
 
 def _errors(batches):
+    """The best offset by votes of each pair among those whose bits agree."""
+    names = ["query", "class", "offset", "votes", "overlap", "bit_error"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
     for b in batches:
-        error, length = [], []
-        for x, y, d in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), b.column("offset").to_pylist(), strict=True):
+        out = []
+        for q, c, offsets, x, y in zip(*[b.column(k).to_pylist() for k in ("query", "class", "offsets", "x", "y")], strict=True):
             u, v = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-            a, e = max(0, -d), min(len(u), len(v) - d)
-            length.append(e - a)
-            error.append(float(np.bitwise_count(u[a:e] ^ v[a + d : e + d]).mean() / 32) if e > a else 1.0)
-        keep = [k for k in range(b.num_columns) if b.schema.names[k] not in ("x", "y")]
-        yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(length, pa.int64()), pa.array(error, pa.float64())], [*[b.schema.names[k] for k in keep], "overlap", "bit_error"])
+            for o in sorted(offsets, key=lambda o: (-o["votes"], abs(o["offset"]), -o["offset"])):
+                d = o["offset"]
+                a, e = max(0, -d), min(len(u), len(v) - d)
+                error = float(np.bitwise_count(u[a:e] ^ v[a + d : e + d]).mean() / 32) if e > a else 1.0
+                if error <= MAX_ERROR:
+                    out.append((q, c, d, o["votes"], e - a, error))
+                    break
+        cols = list(zip(*out, strict=True)) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names)
 
 
 def align(queries: DataFrame, recordings: DataFrame) -> DataFrame:
     """Classes (class, ints) of queries against classes of recordings: (query, class, offset,
     votes, overlap, bit_error) of the pairs that align.  Equal classes are left out."""
-    q = queries.select("class", "ints").mapInArrow(_post, "class string, key long, pos long")
-    r = recordings.select("class", "ints").mapInArrow(_post, "class string, key long, pos long")
-    q = q.select(F.col("class").alias("query"), "key", F.col("pos").alias("at"))
-    met = q.join(r, "key").where(F.col("query") != F.col("class"))
-    votes = met.groupBy("query", "class", (F.col("pos") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("query", "class").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("b")).where(F.col("b.votes") >= MIN_VOTES)
-    best = best.select("query", "class", "b.offset", "b.votes")
+    q = queries.select("class", "ints").mapInArrow(_post(None), POSTING)
+    bits = np.zeros(FILTER, bool)
+    for r in q.where("short").select(F.col("key").bitwiseAND(FILTER - 1).alias("k")).distinct().toLocalIterator():
+        bits[r["k"]] = True
+    asked = queries.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    r = recordings.select("class", "ints").mapInArrow(_post(asked), POSTING)
+    q = q.select("key", *[F.col(a).alias(b) for a, b in (("class", "query"), ("pos", "at"), ("won", "q_won"), ("short", "q_short"), ("posted", "q_posted"))])
+    met = q.join(r, "key").where((F.col("query") != F.col("class")) & (F.col("q_short") | F.col("short") | F.col("q_won") & F.col("won")))
+    few = F.least("q_posted", "posted")
+    votes = met.groupBy("query", "class", (F.col("pos") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"), F.min(few).alias("few"))
+    enough = votes.where(F.col("votes") >= F.least(F.lit(MIN_VOTES), F.ceil(F.col("few") / 4)))
+    tried = enough.groupBy("query", "class").agg(F.collect_list(F.struct("votes", "offset")).alias("offsets"))
     x = queries.select(F.col("class").alias("query"), F.col("ints").alias("x"))
     y = recordings.select("class", F.col("ints").alias("y"))
-    pairs = best.join(x, "query").join(y, "class").select("query", "class", "offset", "votes", "x", "y")
-    return pairs.mapInArrow(_errors, "query string, class string, offset long, votes long, overlap long, bit_error double").where(F.col("bit_error") <= MAX_ERROR)
+    pairs = tried.join(x, "query").join(y, "class").select("query", "class", "offsets", "x", "y")
+    return pairs.mapInArrow(_errors, "query string, class string, offset long, votes long, overlap long, bit_error double")
 
 
 def search(df: DataFrame, key: str, media: Column, is_query: Column) -> DataFrame:

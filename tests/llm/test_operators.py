@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,6 +269,30 @@ def test_chroma(spark):
     assert got[2].matches is None or all(m["bit_error"] > 0.1 for m in got[2].matches)
 
 
+def test_chroma_of_short_recordings(spark):
+    rng = random.Random(3)
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    long, short, tiny = noise(6000), noise(600), noise(200)
+    # a short query against a long recording and the other way round, at any place
+    rows = [(0, short), (1, short[:500] + noise(60)), (2, long), (100, long[1600:2048]), (3, tiny), (200, tiny), (201, tiny[:199] + b"x"), (300, long), (4, long[3200:3648]), (5, noise(200)), (6, noise(600))]
+    got = {r.k: r for r in chroma.search(spark.createDataFrame(rows, "k long, media binary"), "k", F.col("media"), F.col("k") % 100 == 0).collect()}
+    found = {(k, m["query"]): m["offset"] for k, r in got.items() for m in r.matches or []}
+    assert found[1, 0] == 0 and found[2, 100] == 50 and found[4, 300] == -100
+    assert got[3].class_id == got[200].class_id == 3 and got[3].n_ints == 2
+    assert (5, 200) not in found and (6, 0) not in found
+
+
+def test_chroma_tries_each_offset(spark):
+    rng = np.random.default_rng(6)
+    b = rng.integers(0, 2**32, 400, dtype=np.uint32)
+    a = b ^ np.uint32(1)
+    a[300:315], a[350:365] = b[300:315], b[350:365]
+    a[10:50] = b[200:240]  # most votes stand for this offset, where all else differs
+    df = spark.createDataFrame([("a", a.tobytes()), ("b", b.tobytes())], "class string, ints binary")
+    got = chroma.align(df.where("class = 'a'"), df).collect()
+    assert [(r["query"], r["class"], r["offset"]) for r in got] == [("a", "b", 0)]
+
+
 def test_chat_tree(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a <|im_end|> b"), (2, 0, "user", "hi"), (2, 1, "assistant", None), (2, 2, "user", "<\\|"), (3, 0, "user", "hi"), (None, 0, None, "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
