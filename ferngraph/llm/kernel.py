@@ -22,6 +22,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 CHUNK = 1 << 20
 _M1, _M2, _S33 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
+_scratch = np.empty(CHUNK + 1, np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -36,13 +37,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        for k, p in enumerate((_P, _P_INV)):
-            t = np.full(size, p, np.uint64)
-            t[0] = 1
-            _powers[k] = np.multiply.accumulate(t)
-    return _powers[0], _powers[1]
+    """Powers of the multiplier and of its inverse.  Those for a run of usual length are kept;
+    a longer text has its own, which go with it."""
+    if n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    own = []
+    for p in (_P, _P_INV):
+        t = np.full(max(n, CHUNK + 1), p, np.uint64)
+        t[0] = 1
+        own.append(np.multiply.accumulate(t))
+    if n <= CHUNK + 1:
+        _powers[:] = own
+    return own[0], own[1]
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,22 +90,24 @@ class Words:
             self.row = np.empty(0, np.int64)
             self.first = np.zeros(rows + 1, np.int64)
             return
-        word = ~breaks[buf]
-        begin = word.copy()
-        begin[1:] &= ~word[:-1]
-        last = word.copy()
-        last[:-1] &= ~word[1:]
-        inner = bounds[:-1][bounds[:-1] < n]
-        begin[inner] = word[inner]
-        ends = bounds[1:][bounds[1:] > 0] - 1
-        last[ends] = word[ends]
-        self.start = np.flatnonzero(begin)
-        self.end = np.flatnonzero(last) + 1
+        # white space is 9 to 13 and 32; numbers under 9 wrap around
+        word = (buf - np.uint8(9) > np.uint8(4)) & (buf != 32) if breaks is SPACE else ~breaks[buf]
+        edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+        opens = word[edge]
+        inner = np.unique(bounds[(bounds > 0) & (bounds < n)])
+        inner = inner[word[inner - 1] & word[inner]]
+        start = np.concatenate((np.zeros(int(word[0]), np.int64), edge[opens]))
+        end = np.concatenate((edge[~opens], np.full(int(word[-1]), n)))
+        if len(inner):
+            start, end = np.sort(np.concatenate((start, inner))), np.sort(np.concatenate((end, inner)))
+        self.start, self.end = start, end
         power, inverse = _tables(n + 1)
-        total = np.empty(n + 1, np.uint64)
+        total = _scratch[: n + 1] if n <= CHUNK else np.empty(n + 1, np.uint64)
         total[0] = 0
-        np.cumsum(values[buf] * power[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start])
+        np.take(values, buf, out=total[1:], mode="clip")
+        total[1:] *= power[:n]
+        np.cumsum(total, out=total)
+        self.hash = mix((total[end] - total[start]) * inverse[start])
         self.first = np.searchsorted(self.start, bounds)
         self.row = np.repeat(np.arange(rows), np.diff(self.first))
 

@@ -2,30 +2,33 @@
 
 A line's tokens are its distinct words (runs of other characters than ASCII white space,
 A-Z in lower case).  A line goes if an earlier line of the corpus, kept or not, has a
-Jaccard similarity of num/den or more to it.  Lines are ordered by document id, then line
-number (packed in 64 bits: ids of 43 bits, line numbers of 20; null ids come last).
+Jaccard similarity of num/den or more to it.  Lines are ordered by document id (nulls
+last), then a hash of the whole row, then line number.
 
 Equal token sets meet by their id; different ones by prefix filtering (``setjoin``), each
 line with its nearest passing predecessors first; lines that these leave open are joined
 with all of their runs.
 
-Defined results: lines without words stay; null texts stay null; rows equal in all columns
-are treated alike, and lines at the same place of rows that share an id don't remove each
-other if their sets are equal; a document may end up with an empty text.
+Lines are numbered by integer ids where these are unique and fit in 64 bits with the line
+numbers; else documents are sorted and numbered first.
+
+Defined results: lines without words stay; null texts stay null; ids may be of any type that
+sorts and may repeat; rows equal in all columns are one document, whose copies are treated
+alike; a document may end up with an empty text; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferngraph.llm import kernel, setjoin
 from ferngraph.session import extended, ship, written
 
 NEAREST = 3
-LAST_LINE = (1 << 20) - 1
+INTEGERS = ("byte", "short", "integer", "long")
 
 
 def _line_sets(column: pa.Array):
@@ -48,56 +51,43 @@ def _line_sets(column: pa.Array):
             yield v, r, b - a, doc[a:b] + i, number[a:b]
 
 
-def _order(ids: np.ndarray, number: np.ndarray) -> np.ndarray:
-    return (ids << 20) | np.minimum(number, LAST_LINE)
-
-
 def _instances(batches):
-    """(text, id, row) -> (row, line, set, ord) of each line with words, then a sketch."""
-    counts = np.zeros(setjoin.SKETCH, np.int64)
-    names = ["row", "line", "set", "ord", "block", "counts"]
+    """(text, number, row) -> (row, number, line, set) of each line with words, then a sketch."""
+    sketch = setjoin.Sketch()
+    names = ["row", "number", "line", "set", "block", "counts"]
     for b in batches:
         ids, rows = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
         for v, r, n, doc, number in _line_sets(b.column(0)):
-            counts += np.bincount(setjoin.cells(v), minlength=setjoin.SKETCH)
+            sketch.add(v)
             size, sets = kernel.set_ids(v, r, n)
             at = np.flatnonzero(size)
             m = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[doc[at]]), pa.array(number[at]), pa.array(sets[at]), pa.array(_order(ids[doc[at]], number[at])), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
-    if counts.any():
-        block, data = setjoin.sketch_rows(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[doc[at]]), pa.array(ids[doc[at]]), pa.array(number[at]), pa.array(sets[at]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+    block, data = sketch.rows()
+    if block:
         none = pa.nulls(len(block), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(block, pa.int32()), pa.array(data, pa.binary())], names)
 
 
-def _postings(num: int, den: int, rank):
-    def run(batches):
-        seen: dict[int, int] = {}
+def _postings(num: int, den: int, shift: int, rarity):
+    def parts(batches):
+        seen = setjoin.Seen()
         for b in batches:
             ids = b.column(1).to_numpy(zero_copy_only=False)
             for v, r, n, doc, number in _line_sets(b.column(0)):
                 size, sets = kernel.set_ids(v, r, n)
-                order = _order(ids[doc], number)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                fresh = np.zeros(n, bool)
-                for k in np.flatnonzero(size).tolist():
-                    s, o = int(sets[k]), int(order[k])
-                    if o < seen.get(s, 1 << 63):
-                        seen[s] = o
-                        fresh[k] = True
-                keep = fresh[r]
-                p = setjoin.prefixes(v[keep], r[keep], n, rank.value, num, den)
-                row = p["row"]
-                yield pa.RecordBatch.from_arrays([pa.array(p["key"]), pa.array(sets[row]), pa.array(order[row]), pa.array(p["n"]), pa.array(p["pos"]), pa.array(p["bits"])], ["key", "set", "ord", "n", "pos", "bits"])
+                order = ids[doc] << shift | number
+                keep = seen.fresh(sets, order, np.flatnonzero(size))[r]
+                yield setjoin.prefixes(v[keep], r[keep], sets, order, rarity.value, num, den)
 
-    return run
+    return lambda batches: setjoin.packed(parts(batches), rarity.value)
 
 
-def _sets(wanted):
+def _sets(wanted, rows):
     def run(batches):
         for b in batches:
-            for v, r, n, _, _ in _line_sets(b.column(0)):
+            some = b if rows is None else b.filter(pa.array(rows.value.has(b.column(1).to_numpy(zero_copy_only=False))))
+            for v, r, n, _, _ in _line_sets(some.column(0)):
                 size, sets = kernel.set_ids(v, r, n)
                 at = np.flatnonzero(wanted.value.has(sets) & (size > 0))
                 at = np.sort(at[np.unique(sets[at], return_index=True)[1]])
@@ -114,34 +104,74 @@ def _strip(batches):
         out, lines, removed = [], [], []
         for t, g in zip(texts, gone, strict=True):
             n = t.count("\n") + 1 if t is not None else 0
-            if g:
-                drop = set(g)
+            drop = set(g or ())  # copies of a row name its lines again
+            if drop:
                 t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
             out.append(t)
             lines.append(n)
-            removed.append(len(g) if g else 0)
+            removed.append(len(drop))
         yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*b.schema.names[2:], "_text", "_lines", "_removed"])
 
 
+def _numbers(docs: DataFrame, doc_id: str) -> Column | None:
+    """A number from 0 on by id, if ids are integers that no two different rows share."""
+    if docs.schema[doc_id].dataType.typeName() not in INTEGERS:
+        return None
+    per = docs.select(F.col(doc_id).cast("long").alias("i"), F.xxhash64(*docs.columns).alias("r")).groupBy("i").agg(F.min("r").alias("x"), F.max("r").alias("y"))
+    low, high, shared = per.agg(F.min("i"), F.max("i"), F.max(F.col("x") != F.col("y"))).first()
+    if shared or (low is not None and high - low >= 1 << 60):
+        return None
+    return F.coalesce(F.col(doc_id).cast("long") - F.lit(low), F.lit((high or 0) - (low or 0) + 1))
+
+
+def _ranked(docs: DataFrame, doc_id: str) -> DataFrame:
+    """(r, i): numbers of distinct rows, by hash, in the order of ids and then of hashes."""
+    spark = docs.sparkSession
+    keys = docs.select(F.col(doc_id).alias("id"), F.xxhash64(*docs.columns).alias("r")).distinct()
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    by = [F.col("id").asc_nulls_last(), F.col("r")]
+    at = written(keys.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("r", F.monotonically_increasing_id().alias("at")), "places")
+    # the upper bits of such an id are its partition, the lower ones its place there
+    part = F.shiftright("at", 33)
+    total, offsets = 0, []
+    for p, n in at.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        offsets += [F.lit(p), F.lit(total)]
+        total += n
+    start = F.create_map(*offsets)[part] if offsets else F.lit(0)
+    return at.select("r", (start + F.col("at").bitwiseAND((1 << 33) - 1)).cast("long").alias("i"))
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int = 4, den: int = 5) -> DataFrame:
     """The documents with ``text`` without the lines that go, and _lines and _removed, which
     replace columns of these names."""
     spark = docs.sparkSession
     ship(spark)
-    number = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 43) - 1))
-    whole = docs.select(F.col(text).alias("t"), number.alias("i"), F.xxhash64(*docs.columns).alias("r"), F.struct(*docs.columns).alias("_doc"))
-    shown = whole.select("t", "i", "r")
-    made = written(shown.mapInArrow(_instances, "row long, line long, set long, ord long, block int, counts binary"), "lines")
-    lines = made.where("set is not null").select("row", "line", "set", "ord")
-    rank = spark.sparkContext.broadcast(setjoin.rarity(made.where("block is not null").select("block", "counts")))
-    postings = shown.select("t", "i").mapInArrow(_postings(num, den, rank), setjoin.POSTING)
+    row = F.xxhash64(*docs.columns)
+    number = _numbers(docs, doc_id)
+    for plain in (True, False):
+        if plain and number is None:
+            continue
+        if plain:
+            shown = docs.select(F.col(text).alias("t"), number.alias("i"), row.alias("r"))
+        else:
+            shown = written(docs.select(F.col(text).alias("t"), row.alias("r")).join(_ranked(docs, doc_id), "r").select("t", "i", "r"), "numbered")
+        made = written(shown.mapInArrow(_instances, "row long, number long, line long, set long, block int, counts binary"), "lines")
+        last, most = made.agg(F.max("number"), F.max("line")).first()
+        shift = int(most or 0).bit_length()
+        if int(last or 0) >> (62 - shift) == 0:
+            break
+    else:
+        raise ValueError("more lines than 64-bit numbers")
+    order = F.shiftleft("number", shift).bitwiseOR(F.col("line"))
+    lines = made.where("set is not null").select("row", "line", "set", order.alias("ord"))
+    first = written(lines.groupBy("set").agg(F.min(F.struct("ord", "row")).alias("x"), F.count("*").alias("n")).select("set", F.col("x.ord").alias("first"), "x.row", "n"), "first")
+    rarity = spark.sparkContext.broadcast(setjoin.rarity(made.where("block is not null").select("block", "counts"), num, den))
+    postings = shown.select("t", "i").mapInArrow(_postings(num, den, shift, rarity), setjoin.PACKED)
     pairs, kept = setjoin.candidates(postings, num, den, NEAREST)
     pairs = written(pairs, "candidates")
 
-    def fetch(p):
-        ids = p.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-        wanted = spark.sparkContext.broadcast(setjoin.id_filter(ids, "set"))
-        return setjoin.once(shown.select("t").mapInArrow(_sets(wanted), setjoin.SETS))
+    def fetch(p, rows=None):
+        return setjoin.once(shown.select("t", "r").mapInArrow(_sets(*setjoin.wanted(p, rows, "row")), setjoin.SETS))
 
     gone = written(setjoin.verified(pairs, fetch(pairs), num, den).select(F.col("b").alias("set")).distinct(), "gone")
     still = kept.where("open").join(gone, "set", "left_anti")
@@ -149,11 +179,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int
     more = early.join(late, "key").where("x_ord < y_ord OR x_ord = y_ord AND x_set < y_set").where("x_set <> y_set").where(setjoin.pass_filters("x", "y", num, den))
     more = written(more.select(F.col("x_set").alias("a"), F.col("y_set").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        gone = gone.unionByName(setjoin.verified(more, fetch(more), num, den).select(F.col("b").alias("set"))).distinct()
-    first = lines.groupBy("set").agg(F.min("ord").alias("first"))
-    first = first.join(gone.withColumn("gone", F.lit(True)), "set", "left")
-    lost = lines.join(first, "set").where("gone OR ord > first").groupBy("row").agg(F.collect_set("line").alias("_gone"))
-    both = whole.join(lost, F.col("r") == F.col("row"), "left").select("t", "_gone", F.col("_doc").dropFields(text).alias("_doc") if len(docs.columns) > 1 else F.struct().alias("_doc"))
+        gone = gone.unionByName(setjoin.verified(more, fetch(more, first.select("set", "row")), num, den).select(F.col("b").alias("set"))).distinct()
+    ends = first.select("set", "first", "n").join(gone.withColumn("gone", F.lit(True)), "set", "left").where("gone OR n > 1")
+    lost = lines.join(ends, "set").where("gone OR ord > first").groupBy("row").agg(F.collect_list("line").alias("_gone"))
+    rest = [c for c in docs.columns if c not in (text, "_lines", "_removed")]
+    both = docs.select(F.col(text).alias("t"), row.alias("r"), F.struct(*rest).alias("_doc")).join(lost, F.col("r") == F.col("row"), "left").select("t", "_gone", "_doc")
     out = both.mapInArrow(_strip, extended(both, 2, "_text string, _lines long, _removed long"))
     kept = [F.col("_text").alias(text) if c == text else F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ("_lines", "_removed")]
     return out.select(*kept, "_lines", "_removed")

@@ -6,8 +6,9 @@ words (or null) has an empty set and is linked with nothing.
 
 Documents of equal sets are one class.  Classes meet by prefix filtering (``setjoin``),
 each first with its nearest neighbours only.  These links make components; classes of
-different components that share a posting are then joined and verified as well, so each
-pair that is not linked already by others is tried, and components are exact.
+different components that share a posting are then joined and verified as well, each pair at
+its first common element only, so each pair that is not linked already by others is tried
+once, and components are exact.
 
 Repeated rows and equal ids are rows of their own with the same class.
 """
@@ -34,131 +35,137 @@ def _classes(k: int):
     """Column 0 is the text, the rest passes through; adds n and set, then a sketch."""
 
     def run(batches):
-        counts = np.zeros(setjoin.SKETCH, np.int64)
+        sketch = setjoin.Sketch()
         schema = None
         for b in batches:
             buf, bounds = kernel.buffers(b.column(0))
-            sizes, ids = [], []
+            sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i, j in kernel.chunks(bounds):
                 g, r = _grams(buf, bounds, i, j, k)
                 v, r = kernel.distinct(g, r)
-                counts += np.bincount(setjoin.cells(v), minlength=setjoin.SKETCH)
+                sketch.add(v)
                 n, s = kernel.set_ids(v, r, j - i)
                 sizes.append(n)
                 ids.append(s)
-            n = np.concatenate(sizes) if sizes else np.empty(0, np.int64)
-            s = np.concatenate(ids) if ids else np.empty(0, np.int64)
             rows = b.num_rows
             schema = b.schema
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n.astype(np.int64)), pa.array(s), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], [*schema.names[1:], "n", "set", "block", "counts"])
-        if schema is not None and counts.any():
-            block, data = setjoin.sketch_rows(counts)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(sizes)), pa.array(np.concatenate(ids)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], [*schema.names[1:], "n", "set", "block", "counts"])
+        block, data = sketch.rows()
+        if schema is not None and block:
             m = len(block)
             yield pa.RecordBatch.from_arrays([*[pa.nulls(m, f.type) for f in list(schema)[1:]], pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(block, pa.int32()), pa.array(data, pa.binary())], [*schema.names[1:], "n", "set", "block", "counts"])
 
     return run
 
 
-def _distinct_sets(batches, k: int):
-    """(values, rows, ids of the rows) of texts whose set this task hasn't met lately."""
-    seen: set[int] = set()
+def _distinct_sets(batches, k: int, wanted=None, texts=None):
+    """(values, rows, ids of the rows, rows) of (text, hash of the text) whose text and set this task
+    hasn't met lately.  Filters of sets and of texts let only these by."""
+    met, seen = setjoin.Seen(), setjoin.Seen()
     for b in batches:
-        buf, bounds = kernel.buffers(b.column(0))
+        hashes = b.column(1).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(texts.has(hashes)) if texts is not None else np.arange(len(hashes))
+        some = b.filter(pa.array(met.fresh(hashes, np.zeros_like(hashes), at)))
+        buf, bounds = kernel.buffers(some.column(0))
         for i, j in kernel.chunks(bounds):
             g, r = _grams(buf, bounds, i, j, k)
             v, r = kernel.distinct(g, r)
             n, ids = kernel.set_ids(v, r, j - i)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            fresh = np.zeros(j - i, bool)
-            for x, key in enumerate(ids.tolist()):
-                if n[x] and key not in seen:
-                    seen.add(key)
-                    fresh[x] = True
+            at = np.flatnonzero((n > 0) & wanted.has(ids)) if wanted is not None else np.flatnonzero(n)
+            fresh = seen.fresh(ids, np.zeros_like(ids), at)
             keep = fresh[r]
-            yield v[keep], r[keep], ids, j - i
+            yield v[keep], r[keep], ids, np.flatnonzero(fresh)
 
 
-def _postings(k: int, num: int, den: int, rank):
-    def run(batches):
-        for v, r, ids, n in _distinct_sets(batches, k):
-            p = setjoin.prefixes(v, r, n, rank.value, num, den)
-            sets = ids[p["row"]]
-            yield pa.RecordBatch.from_arrays([pa.array(p["key"]), pa.array(sets), pa.array(p["n"].astype(np.int64)), pa.array(p["n"]), pa.array(p["pos"]), pa.array(p["bits"])], ["key", "set", "ord", "n", "pos", "bits"])
+def _postings(k: int, num: int, den: int, rarity):
+    def parts(batches):
+        for v, r, ids, _ in _distinct_sets(batches, k):
+            size = np.bincount(r, minlength=len(ids))
+            yield setjoin.prefixes(v, r, ids, size, rarity.value, num, den)
 
-    return run
+    return lambda batches: setjoin.packed(parts(batches), rarity.value)
 
 
-def _sets(k: int, wanted):
+def _sets(k: int, wanted, texts):
     def run(batches):
-        for v, r, ids, n in _distinct_sets(batches, k):
-            at = np.flatnonzero(wanted.value.has(ids) & (np.bincount(r, minlength=n) > 0))
+        for v, r, ids, at in _distinct_sets(batches, k, wanted.value, texts.value):
             yield setjoin.set_rows(v, r, ids, at)
 
     return run
 
 
-def _wide(k: int, wanted):
+WIDE = ", ".join(["set long", *(f"w{x} long" for x in range(setjoin.WIDE)), "prefix array<bigint>"])
+
+
+def _wide(k: int, num: int, den: int, wanted, texts, rarity):
+    """Wide bitmaps of sets, and their prefixes in order."""
+
     def run(batches):
-        for v, r, ids, n in _distinct_sets(batches, k):
-            at = np.flatnonzero(wanted.value.has(ids) & (np.bincount(r, minlength=n) > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), *[pa.array(w[at]) for w in setjoin.wide_bits(v, r, n)]], ["set", *[f"w{x}" for x in range(setjoin.WIDE)]])
+        for v, r, ids, at in _distinct_sets(batches, k, wanted.value, texts.value):
+            size = np.bincount(r, minlength=len(ids))[at]
+            in_order = v[setjoin.rare_first(v, r, rarity.value.rank)].view(np.int64)
+            end = np.cumsum(size)
+            ends = np.append(0, np.cumsum(setjoin.prefix_sizes(size, num, den)))
+            places = np.concatenate([np.empty(0, np.int64), *[np.arange(e - n, e - n + m) for e, n, m in zip(end, size, np.diff(ends), strict=True)]])
+            prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(in_order[places]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), *[pa.array(w[at]) for w in setjoin.wide_bits(v, r, len(ids))], prefix], [c.split()[0] for c in WIDE.split(", ")])
 
     return run
 
 
-def classes(docs: DataFrame, text: str, keep: list[str], k: int) -> tuple[DataFrame, DataFrame]:
-    """(rows (keep..., n, set), sketch rows (block, counts))."""
-    shown = docs.select(F.col(text).alias("_text"), *keep)
+def classes(docs: DataFrame, text: str, keep: list[str], k: int) -> DataFrame:
+    """Rows (_hash, keep..., n, set) with the hash of the text, and sketch rows (block, counts)."""
+    shown = docs.select(F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"), *keep)
     ship(docs.sparkSession)
-    made = written(shown.mapInArrow(_classes(k), extended(shown, 1, "n long, set long, block int, counts binary")), "classes")
-    return made.where("n is not null").select(*keep, "n", "set"), made.where("block is not null").select("block", "counts")
+    return written(shown.mapInArrow(_classes(k), extended(shown, 1, "n long, set long, block int, counts binary")), "classes")
 
 
-def _fetch(docs: DataFrame, text: str, k: int, pairs: DataFrame) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(setjoin.id_filter(ids, "set"))
-    return setjoin.once(docs.select(text).mapInArrow(_sets(k, wanted), setjoin.SETS))
+def links(docs: DataFrame, text: str, found: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Verified links (a, b) between classes, enough of them for exact components.  ``found``:
+    what ``classes`` gives."""
+    spark = docs.sparkSession
+    rarity = spark.sparkContext.broadcast(setjoin.rarity(found.where("block is not null").select("block", "counts"), num, den))
+    shown = docs.select(text, F.xxhash64(text).alias("_hash"))
+    holders = found.where("n > 0").select("set", "_hash")
 
+    def fetch(p: DataFrame) -> DataFrame:
+        return setjoin.once(shown.mapInArrow(_sets(k, *setjoin.wanted(p, holders, "_hash")), setjoin.SETS))
 
-def links(docs: DataFrame, text: str, sketch: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Verified links (a, b) between classes, enough of them for exact components."""
-    spark = docs.sparkSession
-    rank = spark.sparkContext.broadcast(setjoin.rarity(sketch))
-    postings = docs.select(text).mapInArrow(_postings(k, num, den, rank), setjoin.POSTING)
-    pairs, kept = setjoin.candidates(postings, num, den, NEAREST)
+    pairs, kept = setjoin.candidates(shown.mapInArrow(_postings(k, num, den, rarity), setjoin.PACKED), num, den, NEAREST, by_size=True)
     pairs = written(pairs, "candidates")
-    edges = written(setjoin.verified(pairs, _fetch(docs, text, k, pairs), num, den), "links")
+    edges = written(setjoin.verified(pairs, fetch(pairs), num, den), "links")
     # What is open: classes of one run in different components.
     root = setjoin.components(edges)
-    posts = kept.drop("open").join(root, F.col("set") == F.col("node"), "left").select("*", F.coalesce("root", "set").alias("comp")).drop("node", "root")
+    posts = kept.drop("open").dropDuplicates(["key", "set"]).join(root, F.col("set") == F.col("node"), "left").select("*", F.coalesce("root", "set").alias("comp")).drop("node", "root")
     posts = written(posts, "open")
     size = posts.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = size.groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").select("key", "main")
     mixed = written(posts.join(main, "key"), "mixed")
     if mixed.isEmpty():
         return edges
-    # these few sets get wider bitmaps, so that hardly any pair meets in vain
-    wanted = spark.sparkContext.broadcast(setjoin.id_filter(mixed.select("set").distinct(), "set"))
-    names = [f"w{x}" for x in range(setjoin.WIDE)]
-    wide = docs.select(text).mapInArrow(_wide(k, wanted), ", ".join(["set long", *(f"{w} long" for w in names)]))
-    mixed = written(mixed.join(wide.groupBy("set").agg(*[F.first(w).alias(w) for w in names]), "set"), "mixed")
+    # these few sets get wider bitmaps, so that hardly any pair meets in vain, and what comes
+    # before each posting, so that a pair meets once
+    sets = mixed.select(F.col("set").alias("a"), F.col("set").alias("b")).distinct()
+    wide = shown.mapInArrow(_wide(k, num, den, *setjoin.wanted(sets, holders, "_hash"), rarity), WIDE)
+    wide = wide.groupBy("set").agg(*[F.first(c.split()[0]).alias(c.split()[0]) for c in WIDE.split(", ")[1:]])
+    mixed = mixed.join(wide, "set").withColumn("before", F.expr("slice(prefix, 1, pos)")).drop("prefix")
+    mixed = written(mixed, "mixed")
     one, every = setjoin.side(mixed.where("comp <> main"), "x"), setjoin.side(mixed, "y")
     # two sets outside the main component of their run meet once
-    more = one.join(every, "key").where("x_comp <> y_comp AND (y_comp = y_main OR x_set < y_set)").where(setjoin.pass_filters("x", "y", num, den)).where(setjoin.pass_wide("x", "y", num, den))
+    more = one.join(every, "key").where("x_comp <> y_comp AND (y_comp = y_main OR x_set < y_set)").where(setjoin.pass_filters("x", "y", num, den)).where(setjoin.pass_wide("x", "y", num, den)).where("NOT arrays_overlap(x_before, y_before)")
     more = more.select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b")).distinct()
     more = written(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
     if more.isEmpty():
         return edges
-    return edges.unionByName(setjoin.verified(more, _fetch(docs, text, k, more), num, den))
+    return edges.unionByName(setjoin.verified(more, fetch(more), num, den))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, keep..., n_shingles, component_id): the smallest id that links reach."""
     names = [doc_id, *(keep or [])]
-    rows, sketch = classes(docs, text, names, k)
-    root = setjoin.components(links(docs, text, sketch, k, num, den))
-    rows = rows.join(root, F.col("set") == F.col("node"), "left").select(*names, "n", F.coalesce("root", "set").alias("root"))
+    found = classes(docs, text, names, k)
+    root = setjoin.components(links(docs, text, found, k, num, den))
+    rows = found.where("n is not null").join(root, F.col("set") == F.col("node"), "left").select(*names, "n", F.coalesce("root", "set").alias("root"))
     least = rows.where("n > 0").groupBy("root").agg(F.min(doc_id).alias("least"))
     out = rows.join(least.withColumnRenamed("root", "_root"), (F.col("root") == F.col("_root")) & (F.col("n") > 0), "left")
     return out.select(*names, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(doc_id)).alias("component_id"))

@@ -7,12 +7,15 @@ of both.  So each set posts its prefix; postings meet by element, sorted, and pa
 length filter, the positional filter and a suffix filter (parity bitmaps bound the
 symmetric difference from below).  What passes is verified once per pair on whole sets.
 
-Runs of postings are read as a stream.  Each posting looks back over at most ``REACH``
+Postings travel in blobs: each map task packs its own by bucket of elements, so Spark moves
+and sorts a row per blob and numpy sorts a bucket.  A bucket is small, as no element in it is
+frequent: those that the sketch shows to occur more than ``HOT`` times are rows of their own,
+sorted by Spark and read as a stream.  Each posting looks back over at most ``REACH``
 others of its run and yields the first of the run, if it passes, and then its nearest
 passing predecessors, ``nearest`` in all.  Where that leaves
 something open (more might pass, or the run is longer), the run's postings are kept, so
 that the caller can settle, by a join, just what these pairs left open.  No task holds a
-whole run and no group is expanded into all its pairs.
+whole run of a frequent element and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -32,17 +35,41 @@ BLOCKS = 64
 REACH = 1024
 #: A filter of ids has at most so many bits; with more ids it lets more pass, which costs time only.
 FILTER_BITS = 1 << 28
-POSTING = "key long, set long, ord long, n int, pos int, bits long"
+#: A bucket has about so many postings; elements that occur more often than HOT have rows of their own.
+BUCKET = HOT = 1 << 15
+#: So many postings are packed at once.
+FLUSH = 1 << 18
+RECORD = np.dtype([("key", "<i8"), ("set", "<i8"), ("ord", "<i8"), ("bits", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+PACKED = "bucket int, key long, ord long, data binary"
 PAIRS = "a long, b long, open boolean, key long, set long, ord long, n int, pos int, bits long"
 
 
 # --- rarity -----------------------------------------------------------------------
 
 
-def sketch_rows(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """A task's counters as BLOCKS rows."""
-    parts = counts.astype(np.uint64).reshape(BLOCKS, -1)
-    return list(range(BLOCKS)), [zlib.compress(p.tobytes(), 1) for p in parts]
+class Sketch:
+    """A task's counters of elements."""
+
+    def __init__(self):
+        self.counts, self.todo = np.zeros(SKETCH, np.int64), []
+
+    def add(self, values: np.ndarray) -> None:
+        self.todo.append(cells(values))
+        if sum(map(len, self.todo)) > SKETCH:
+            self._settle()
+
+    def _settle(self) -> None:
+        if self.todo:
+            self.counts += np.bincount(np.concatenate(self.todo), minlength=SKETCH)
+            self.todo = []
+
+    def rows(self) -> tuple[list[int], list[bytes]]:
+        """The counters as BLOCKS rows; none, if all are 0."""
+        self._settle()
+        if not self.counts.any():
+            return [], []
+        parts = self.counts.astype(np.uint64).reshape(BLOCKS, -1)
+        return list(range(BLOCKS)), [zlib.compress(p.tobytes(), 1) for p in parts]
 
 
 def _sum_blocks(t: pa.Table) -> pa.Table:
@@ -60,9 +87,41 @@ def summed(rows: DataFrame, size: int) -> np.ndarray:
     return out.ravel()
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """Rank (small: rare) of each sketch cell."""
-    return np.floor(np.log2(summed(rows, SKETCH) + 1.0) * 64).astype(np.uint16)
+class Rarity:
+    """``rank`` (small: rare) of each sketch cell, and into how many buckets postings go."""
+
+    def __init__(self, counts: np.ndarray, num: int, den: int):
+        self.rank = np.floor(np.log2(counts + 1.0) * 64).astype(np.uint16)
+        self.hot = int(np.log2(HOT + 1.0) * 64)
+        self.buckets = max(1, min(1 << 30, int(counts.sum()) * (den - num) // (den * BUCKET)))
+
+
+def rarity(rows: DataFrame, num: int, den: int) -> Rarity:
+    return Rarity(summed(rows, SKETCH), num, den)
+
+
+class Seen:
+    """Which ids a task has met lately (with the least order so far), in fixed memory."""
+
+    SLOTS = 1 << 18
+
+    def __init__(self):
+        self.ids, self.order, self.used = np.zeros(self.SLOTS, np.int64), np.zeros(self.SLOTS, np.int64), np.zeros(self.SLOTS, bool)
+
+    def fresh(self, ids: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Flags of those of the rows ``at`` whose id is new, or comes earlier than before."""
+        out = np.zeros(len(ids), bool)
+        if not len(at):
+            return out
+        i, o = ids[at], order[at]
+        by = np.lexsort((o, i))
+        first = by[np.concatenate(([True], i[by][1:] != i[by][:-1]))]
+        slot = i[first] & (self.SLOTS - 1)
+        new = ~(self.used[slot] & (self.ids[slot] == i[first]) & (self.order[slot] <= o[first]))
+        first, slot = first[new], slot[new]
+        self.ids[slot], self.order[slot], self.used[slot] = i[first], o[first], True
+        out[at[first]] = True
+        return out
 
 
 def cells(values: np.ndarray) -> np.ndarray:
@@ -72,20 +131,59 @@ def cells(values: np.ndarray) -> np.ndarray:
 # --- postings ---------------------------------------------------------------------
 
 
-def prefixes(values: np.ndarray, rows: np.ndarray, n_rows: int, rank: np.ndarray, num: int, den: int) -> dict[str, np.ndarray]:
-    """Prefix postings of distinct sets (at most 65536 rows, ascending): key, row, n, pos, bits."""
+def rare_first(values: np.ndarray, rows: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Where the elements of each row stand in the global order, rare first."""
+    return np.argsort((rows.astype(np.uint64) << np.uint64(48)) | (rank[cells(values)].astype(np.uint64) << np.uint64(34)) | (values >> np.uint64(14)))
+
+
+def prefix_sizes(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    return size - (-(-size * num // den)) + 1
+
+
+def prefixes(values: np.ndarray, rows: np.ndarray, ids: np.ndarray, order: np.ndarray, rarity: Rarity, num: int, den: int) -> np.ndarray:
+    """Prefix postings, as RECORD, of distinct sets (at most 65536 rows, ascending; rows
+    without elements have none) with ``ids`` and ``order`` of the rows."""
     if not len(values):
-        return {"key": np.empty(0, np.int64), "row": np.empty(0, np.int64), "n": np.empty(0, np.int32), "pos": np.empty(0, np.int32), "bits": np.empty(0, np.int64)}
-    size = np.bincount(rows, minlength=n_rows)
+        return np.empty(0, RECORD)
+    size = np.bincount(rows, minlength=len(ids))
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     at = np.flatnonzero(size)
-    bits = np.zeros(n_rows, np.uint64)
+    bits = np.zeros(len(ids), np.uint64)
     bits[at] = np.bitwise_xor.reduceat(np.uint64(1) << (values >> np.uint64(42)), begin[at])
-    order = np.argsort((rows.astype(np.uint64) << np.uint64(48)) | (rank[cells(values)].astype(np.uint64) << np.uint64(34)) | (values >> np.uint64(14)))
     pos = np.arange(len(values)) - begin[rows]
-    keep = pos < size[rows] - (-(-size[rows] * num // den)) + 1
+    keep = pos < prefix_sizes(size, num, den)[rows]
     row = rows[keep]
-    return {"key": values[order][keep].view(np.int64), "row": row, "n": size[row].astype(np.int32), "pos": pos[keep].astype(np.int32), "bits": bits[row].view(np.int64)}
+    out = np.empty(len(row), RECORD)
+    out["key"] = values[rare_first(values, rows, rarity.rank)][keep].view(np.int64)
+    out["set"], out["ord"], out["bits"], out["n"], out["pos"] = ids[row], order[row], bits[row].view(np.int64), size[row], pos[keep]
+    return out
+
+
+def packed(parts, rarity: Rarity):
+    """Batches as PACKED of postings that come in ``parts``."""
+    got: list[np.ndarray] = []
+    for part in parts:
+        got.append(part)
+        if sum(map(len, got)) >= FLUSH:
+            yield _pack(np.concatenate(got), rarity)
+            got = []
+    if got:
+        yield _pack(np.concatenate(got), rarity)
+
+
+def _pack(p: np.ndarray, rarity: Rarity) -> pa.RecordBatch:
+    """Buckets follow the keys.  Those of frequent elements are negative, a row for each posting."""
+    key = p["key"].view(np.uint64) if p["key"].flags.c_contiguous else np.ascontiguousarray(p["key"]).view(np.uint64)
+    hot = rarity.rank[cells(key)] >= rarity.hot
+    bucket = np.where(hot, (key >> np.uint64(32)).astype(np.int64) - 65536, ((key >> np.uint64(16)) * np.uint64(rarity.buckets) >> np.uint64(32)).astype(np.int64))
+    order = np.argsort(bucket, kind="stable")
+    p, bucket = p[order], bucket[order]
+    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])) | (bucket < 0)) if len(p) else np.empty(0, np.int64)
+    offsets = np.append(begin, len(p)) * RECORD.itemsize
+    data = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(p))])
+    alone = bucket[begin] < 0
+    columns = [pa.array(bucket[begin].astype(np.int32)), *[pa.array(np.where(alone, p[x][begin], 0)) for x in ("key", "ord")], data]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "key", "ord", "data"])
 
 
 def passes(p: dict, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -110,9 +208,10 @@ def _batch(a: np.ndarray, b: np.ndarray, posts: dict, is_open: np.ndarray) -> pa
     return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(pair, post, strict=True)], ["a", "b", "open", *NAMES])
 
 
-def _look_back(p: dict, old: int, is_long: bool, nearest: int, num: int, den: int) -> pa.RecordBatch:
+def _look_back(p: dict, old: int, is_long: bool, nearest: int, num: int, den: int, by_size: bool, reach: int) -> pa.RecordBatch:
     """Pairs of sorted postings.  The first ``old`` ones are there to be looked back at only;
-    ``is_long``: the (only) run goes on before or after these postings."""
+    ``is_long``: the (only) run goes on before or after these postings.  ``by_size``: their
+    order is that of set sizes, so all before one that is too small are too small."""
     n = len(p["key"])
     begin = np.flatnonzero(np.concatenate(([True], p["key"][1:] != p["key"][:-1])))
     length = np.diff(np.append(begin, n))
@@ -126,8 +225,10 @@ def _look_back(p: dict, old: int, is_long: bool, nearest: int, num: int, den: in
     got[hit] += 1
     found.append((p["set"][head[hit]], p["set"][hit]))
     live = live[place[live] > 1]
-    for d in range(1, min(int(length.max(initial=1)), REACH + 1)):
+    for d in range(1, min(int(length.max(initial=1)), reach + 1)):
         live = live[(place[live] > d) & (got[live] < nearest)]
+        if by_size:
+            live = live[p["n"][live - d].astype(np.int64) * den >= num * p["n"][live].astype(np.int64)]
         if not len(live):
             break
         hit = live[passes(p, live - d, live, num, den)]
@@ -135,51 +236,105 @@ def _look_back(p: dict, old: int, is_long: bool, nearest: int, num: int, den: in
         found.append((p["set"][hit - d], p["set"][hit]))
     none = np.empty(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none)
-    is_open = (got >= nearest) & (place >= nearest) | (place > REACH) | (is_long and old > 0)
+    far = np.zeros(n, bool)
+    far[live if by_size else slice(None)] = True
+    is_open = (got >= nearest) & (place >= nearest) | (place > reach) & far | (is_long and old > 0)
     run = np.repeat(np.arange(len(begin)), length)
     kept = np.bincount(run, is_open, minlength=len(begin)) > 0
     keep = (kept[run] | is_long) & (np.arange(n) >= old)
     return _batch(a, b, {x: p[x][keep] for x in NAMES}, is_open[keep])
 
 
-def _runs(nearest: int, num: int, den: int):
-    def run(batches):
+def _once(p: dict) -> dict:
+    """Sorted postings without those whose (key, set) came before."""
+    _, at = np.unique(kernel.mix(p["key"].view(np.uint64)) ^ p["set"].view(np.uint64), return_index=True)
+    return p if len(at) == len(p["key"]) else {x: v[np.sort(at)] for x, v in p.items()}
+
+
+class _Buckets:
+    """Whole buckets of records, sorted by bucket, several small ones at a time."""
+
+    def __init__(self, *how):
+        self.bucket, self.records = np.empty(0, np.int32), np.empty(0, RECORD)
+        self.how = how
+
+    def _pairs(self, r: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((r["ord"], r["key"]))
+        return _look_back(_once({x: np.ascontiguousarray(r[x][order]) for x in NAMES}), 0, False, *self.how)
+
+    def more(self, bucket: np.ndarray, records: np.ndarray):
+        bucket, records = np.concatenate((self.bucket, bucket)), np.concatenate((self.records, records))
+        begin = 0
+        for end in (np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist():
+            if end - begin >= BUCKET or bucket[end] == bucket[-1]:
+                yield self._pairs(records[begin:end])
+                begin = end
+        self.bucket, self.records = bucket[begin:], records[begin:]
+
+    def end(self):
+        if len(self.records):
+            yield self._pairs(self.records)
+
+
+class _Stream:
+    """Runs of frequent elements, sorted by (key, ord)."""
+
+    def __init__(self, *how):
         # What is held over: the last run so far, or, of a long one, its head and last postings.
-        held, old, is_long = None, 0, False
-        for batch in batches:
-            p = {x: batch.column(k).to_numpy(zero_copy_only=False) for k, x in enumerate(NAMES)}
-            if held is not None:
-                p = {x: np.concatenate((held[x], p[x])) for x in NAMES}
-            if not len(p["key"]):
-                continue
-            last = int(np.searchsorted(p["key"], p["key"][-1]))
-            if last and is_long:
-                first = int(np.searchsorted(p["key"], p["key"][0], "right"))
-                yield _look_back({x: p[x][:first] for x in NAMES}, old, True, nearest, num, den)
-                p = {x: p[x][first:] for x in NAMES}
-                last, old, is_long = last - first, 0, False
-            if last:
-                yield _look_back({x: p[x][:last] for x in NAMES}, 0, False, nearest, num, den)
-                p = {x: p[x][last:] for x in NAMES}
-            if len(p["key"]) - old > REACH:
-                yield _look_back(p, old, True, nearest, num, den)
-                p = {x: np.concatenate((p[x][:1], p[x][1 - REACH :])) for x in NAMES}
-                old, is_long = len(p["key"]), True
-            held = p
-        if held is not None and len(held["key"]) > old:
-            yield _look_back(held, old, is_long, nearest, num, den)
+        self.held, self.old, self.is_long = None, 0, False
+        self.how, self.reach = how, how[-1]
+
+    def more(self, p: dict):
+        if self.held is not None:
+            p = {x: np.concatenate((self.held[x], p[x])) for x in NAMES}
+        if not len(p["key"]):
+            return
+        last = int(np.searchsorted(p["key"], p["key"][-1]))
+        if last and self.is_long:
+            first = int(np.searchsorted(p["key"], p["key"][0], "right"))
+            yield _look_back({x: p[x][:first] for x in NAMES}, self.old, True, *self.how)
+            p = {x: p[x][first:] for x in NAMES}
+            last, self.old, self.is_long = last - first, 0, False
+        if last:
+            yield _look_back({x: p[x][:last] for x in NAMES}, 0, False, *self.how)
+            p = {x: p[x][last:] for x in NAMES}
+        if len(p["key"]) - self.old > self.reach:
+            yield _look_back(p, self.old, True, *self.how)
+            p = {x: np.concatenate((p[x][:1], p[x][1 - self.reach :])) for x in NAMES}
+            self.old, self.is_long = len(p["key"]), True
+        self.held = p
+
+    def end(self):
+        if self.held is not None and len(self.held["key"]) > self.old:
+            yield _look_back(self.held, self.old, self.is_long, *self.how)
+
+
+def _runs(*how):
+    def run(batches):
+        stream, buckets = _Stream(*how), _Buckets(*how)
+        for b in batches:
+            records, bounds = kernel.buffers(b.column(1))
+            records = records.view(RECORD)
+            bucket = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(bounds) // RECORD.itemsize)
+            n = int(np.searchsorted(bucket, 0))
+            if n:
+                yield from stream.more(_once({x: np.ascontiguousarray(records[x][:n]) for x in NAMES}))
+            if n < len(bucket):
+                yield from buckets.more(bucket[n:], records[n:])
+        yield from stream.end()
+        yield from buckets.end()
 
     return run
 
 
-def candidates(postings: DataFrame, num: int, den: int, nearest: int) -> tuple[DataFrame, DataFrame]:
+def candidates(postings: DataFrame, num: int, den: int, nearest: int, by_size: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, b) that pass, postings of the runs that leave something open).  ``postings``
-    as POSTING; those of one (key, set) may repeat.  In a run, a stands before b by ord, then
-    set.  ``open``: a posting may have passing predecessors that aren't among the pairs."""
-    once = postings.repartition("key").groupBy("key", "set").agg(*[F.min(c).alias(c) for c in ("ord", "n", "pos", "bits")])
+    as PACKED; those of one (key, set) may repeat.  In a run, a stands before b by ord, which
+    is the set's size if ``by_size``.
+    ``open``: a posting may have passing predecessors that aren't among the pairs."""
     ship(postings.sparkSession)
-    sorted_ = once.sortWithinPartitions("key", "ord", "set")
-    made = written(sorted_.mapInArrow(_runs(nearest, num, den), PAIRS), "pairs")
+    sorted_ = postings.repartition("bucket").sortWithinPartitions("bucket", "key", "ord").select("bucket", "data")
+    made = written(sorted_.mapInArrow(_runs(nearest, num, den, by_size, REACH), PAIRS), "pairs")
     return made.where("a is not null").select("a", "b").distinct(), made.where("key is not null").select("open", *NAMES)
 
 
@@ -295,6 +450,18 @@ def set_rows(values: np.ndarray, rows: np.ndarray, ids: np.ndarray, at: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(size[at].astype(np.int32)), *wide, elements], [c.split()[0] for c in SETS.split(", ")])
 
 
+def wanted(pairs: DataFrame, instances: DataFrame | None, row: str):
+    """Broadcast filters of the sets of ``pairs`` (a, b), and of the rows that have them, where
+    ``instances`` (set, ``row``) are given (else None)."""
+    sc = pairs.sparkSession.sparkContext
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "wanted")
+    own = sc.broadcast(id_filter(ids, "set"))
+    if instances is None:
+        return own, None
+    rows = written(ids.join(instances, "set").select(row).distinct(), "rows")
+    return own, sc.broadcast(id_filter(rows, row))
+
+
 def once(sets: DataFrame) -> DataFrame:
     """Each set once, as a table."""
     return written(sets.groupBy("set").agg(*[F.first(c).alias(c) for c in sets.columns if c != "set"]), "sets")

@@ -63,10 +63,12 @@ def test_ngram_join_empty(spark):
     assert ngram_join.first_of_each(docs(spark, [(1, None, None, None), (2, "", None, None)])).count() == 2
 
 
-def test_long_runs_are_settled(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1 << 15, 10, 0])
+def test_long_runs_are_settled(spark, monkeypatch, hot):
     from ferngraph.llm import setjoin
 
     monkeypatch.setattr(setjoin, "REACH", 4)
+    monkeypatch.setattr(setjoin, "HOT", hot)
     rng = random.Random(3)
     base = prose(rng, 80).split()
     rows = []
