@@ -1,7 +1,7 @@
 """Engine relations over the star schema, as one SQL text for every engine.
 
-Suppliers stand for files, consecutive lines of urgent orders for imports, orders for
-commits, events for usage, and so on.
+Suppliers stand for files, order lines for imports, orders for commits, events for usage,
+and so on.  Every relation reads its whole tables.
 """
 
 from __future__ import annotations
@@ -18,20 +18,20 @@ def path_of(k: str) -> str:
     )
 
 
-_URGENT = (
-    "{lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
-    " JOIN {orders} o ON o.o_orderkey = a.l_orderkey"
-    " WHERE o.o_orderpriority = '1-URGENT' AND o.o_orderdate >= TIMESTAMP '2001-01-01 00:00:00' AND a.l_suppkey <> b.l_suppkey"
+#: Every order line is an import statement: of one of three other files, or of one of five hubs.
+_IMPORTS = (
+    "(SELECT *, CASE WHEN l_linenumber % 4 = 3 THEN l_suppkey % 5 ELSE (l_suppkey * 3 + l_linenumber % 4 * 7 + 1) % (SELECT count(*) FROM {supplier}) END AS to_key"
+    " FROM {lineitem}) a WHERE to_key <> l_suppkey"
 )
 VIEWS = {
     "files": f"SELECT {path_of('s_suppkey')} AS path, CASE WHEN s_nationkey % 2 = 0 THEN 'python' ELSE 'typescript' END AS language FROM {{supplier}}",
-    "edge_rows": f"SELECT {path_of('a.l_suppkey')} AS src_file, {path_of('b.l_suppkey')} AS dst_file, a.l_returnflag || a.l_linestatus AS specifier,"
-    f" CAST(a.l_linenumber AS BIGINT) AS line_number, b.l_returnflag AS name FROM {_URGENT}",
-    "edges": f"SELECT DISTINCT {path_of('a.l_suppkey')} AS src_file, {path_of('b.l_suppkey')} AS dst_file FROM {_URGENT}",
+    "edge_rows": f"SELECT {path_of('l_suppkey')} AS src_file, {path_of('to_key')} AS dst_file, l_returnflag || l_linestatus AS specifier,"
+    f" CAST(l_linenumber AS BIGINT) AS line_number, l_returnflag AS name FROM {_IMPORTS}",
+    "edges": f"SELECT DISTINCT {path_of('l_suppkey')} AS src_file, {path_of('to_key')} AS dst_file FROM {_IMPORTS}",
     "commit_files": f"SELECT DISTINCT o.o_orderkey AS hash, o.o_orderdate AS ts, {path_of('l.l_suppkey')} AS file FROM {{orders}} o JOIN {{lineitem}} l ON l.l_orderkey = o.o_orderkey",
     "runs": "SELECT o_orderkey AS id, o_orderdate AS created_at, o_orderpriority AS branch,"
     " CASE o_orderstatus WHEN 'F' THEN 'high' WHEN 'O' THEN 'medium' ELSE 'low' END AS blast_level FROM {orders}",
-    "hotspots": f"SELECT DISTINCT l_orderkey AS run_id, {path_of('l_suppkey')} AS file_path FROM {{lineitem}} WHERE l_quantity >= 40",
+    "hotspots": f"SELECT DISTINCT l_orderkey AS run_id, {path_of('l_suppkey')} AS file_path FROM {{lineitem}}",
     "usage_log": "SELECT event_id AS id, ts AS created_at, CASE WHEN event_type = 'purchase' THEN 'analyze_change' ELSE event_type END AS tool,"
     " user_id AS file_key, user_id % 7 AS file_count, user_id % 11 AS must_read_count, user_id % 5 AS likely_modify_count, user_id % 13 * 100 AS response_tokens,"
     " CASE WHEN user_id % 3 = 0 THEN 'high' WHEN user_id % 3 = 1 THEN 'medium' ELSE 'low' END AS blast_level, value AS duration_ms,"
@@ -40,7 +40,7 @@ VIEWS = {
     " CAST(l.toxic AS BIGINT) AS unnecessary, l.doc_id % 3 AS missing, l.doc_id % 2 AS modified, d.n_chars FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id",
     "risk_scores": "SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) % 101 AS risk_score, CAST(1 + o_orderkey % 2 AS BIGINT) AS score_version FROM {orders}",
     "changed": f"SELECT {path_of('s_suppkey')} AS path, CASE s_nationkey % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' WHEN 2 THEN 'deleted' ELSE 'modified' END AS status,"
-    " s_suppkey % 10 <> 0 AS indexed FROM {supplier} WHERE s_suppkey % 3 = 0",
+    " s_suppkey % 10 <> 0 AS indexed FROM {supplier}",
     "graded": "SELECT c_custkey AS id, CAST(c_custkey % 11 AS DOUBLE) / 10 AS confidence, CAST(c_custkey % 7 AS DOUBLE) / 7 AS symbol_rate, CAST(c_custkey % 5 AS DOUBLE) / 5 AS direction_rate,"
     " c_custkey % 2 = 0 AS inverted, c_custkey % 6 AS n_must, c_custkey % 13 AS n_likely, c_custkey % 3 = 0 AS single_tier, c_custkey % 4 AS signal_types, c_custkey % 4 AS n_tests, c_custkey % 2 AS n_direct,"
     " CASE c_custkey % 3 WHEN 0 THEN 'is_test' WHEN 1 THEN 'no_tests_nearby' ELSE 'other' END AS test_reason, c_custkey % 5 AS n_related, c_custkey % 2 = 1 AS informative,"

@@ -132,6 +132,17 @@ def search_symbol(edges: DataFrame, files: DataFrame, symbol: str, limit: int =
     return files.join(hit, "path", "left_semi").orderBy("path").limit(limit if limit > 0 else 50)
 
 
+def exists(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, found) of each wanted path."""
+    known = files.select("path").distinct().withColumn("_f", F.lit(True))
+    return wanted.select("path").join(known, "path", "left").select("path", F.coalesce("_f", F.lit(False)).alias("found"))
+
+
+def unresolved_of(unresolved: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, specifier, reason...) of the given files."""
+    return unresolved.withColumnRenamed("src_file", "path").join(paths.select("path").distinct(), "path", "left_semi")
+
+
 def search_path(files: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """Case-insensitive substring search; wildcards of the query have no meaning."""
     return files.where(F.contains(F.lower("path"), F.lit(query.lower()))).orderBy("path").limit(limit if limit > 0 else 50)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ferngraph.functions import extract, resolve
 from ferngraph.operators import signals
 from ferngraph.session import written
+from ferngraph.sources import tree
 
 
 @dataclass
@@ -20,12 +21,26 @@ class Index:
     signals: DataFrame
     churn: DataFrame | None = None
     pairs: DataFrame | None = None
+    facts: DataFrame | None = None
 
 
 def build(files: DataFrame, contents: DataFrame, config: resolve.Config, commits: DataFrame | None = None, entrypoints: list[str] | None = None, all_paths: DataFrame | None = None) -> Index:
     """All relations, as tables of the shared folder, from files (path, ...), contents (path, text) and commits (hash, ts, files).
     Churn is kept for indexed files only, pairs for all."""
-    rows, lost = resolve.resolve(extract.facts(contents), files, config, all_paths)
+    return _from_facts(written(extract.facts(contents), "facts"), files, config, commits, entrypoints, all_paths)
+
+
+def refresh(old: Index, files: DataFrame, contents: DataFrame, config: resolve.Config, commits: DataFrame | None = None, entrypoints: list[str] | None = None, all_paths: DataFrame | None = None) -> Index:
+    """The index after a change.  Only files whose content_hash is new are read again; what all
+    facts mean is settled anew, as files that came or went may change it."""
+    changed = written(tree.changes(old.files, files), "changes")
+    again = contents.join(changed.where("change <> 'removed'"), "path", "left_semi")
+    facts = old.facts.join(changed, "path", "left_anti").unionByName(extract.facts(again))
+    return _from_facts(written(facts, "facts"), files, config, commits, entrypoints, all_paths)
+
+
+def _from_facts(facts: DataFrame, files: DataFrame, config: resolve.Config, commits: DataFrame | None, entrypoints: list[str] | None, all_paths: DataFrame | None) -> Index:
+    rows, lost = resolve.resolve(facts, files, config, all_paths)
     rows = written(rows, "import_rows")
     method = rows.groupBy("src_file", "dst_file", "specifier").agg(F.min("resolution_method").alias("resolution_method"))
     edges = signals.merge_edges(rows).join(method, ["src_file", "dst_file", "specifier"]).withColumn("edge_type", F.lit("import"))
@@ -35,4 +50,4 @@ def build(files: DataFrame, contents: DataFrame, config: resolve.Config, commits
         touched = written(signals.commit_files(signals.in_window(commits)), "touched")
         churn = signals.churn(touched).join(files.select(F.col("path").alias("file_path")), "file_path", "left_semi")
         churn, pairs = written(churn, "churn"), written(signals.co_change(touched), "pairs")
-    return Index(files, edges, unresolved, written(signals.degree_signals(files, edges, entrypoints), "signals"), churn, pairs)
+    return Index(files, edges, unresolved, written(signals.degree_signals(files, edges, entrypoints), "signals"), churn, pairs, facts)

@@ -60,6 +60,19 @@ pairs AS (SELECT a.file AS file_a, b.file AS file_b, count(*) AS frequency FROM
 sym AS (SELECT file_a AS path, file_b AS partner, frequency FROM pairs UNION ALL SELECT file_b, file_a, frequency FROM pairs)"""
 
 
+CYCLES = """ce AS (SELECT DISTINCT src_file, dst_file FROM edges WHERE src_file <> dst_file), cw AS (SELECT src_file AS subject, [src_file] AS path, dst_file AS node, 1 AS k FROM ce
+UNION ALL SELECT cw.subject, list_append(cw.path, cw.node), ce.dst_file, k + 1 FROM cw JOIN ce ON ce.src_file = cw.node WHERE k < 6 AND cw.node <> cw.subject AND NOT list_contains(cw.path, cw.node)),
+cyc AS (SELECT * FROM (SELECT subject, list_append(path, node) AS cycle, row_number() OVER (PARTITION BY subject ORDER BY list_append(path, node)) AS rank FROM cw WHERE node = subject) WHERE rank <= 5)"""
+
+
+def _cycles(r) -> DataFrame:
+    return neighbourhood.cycles(r("files").select(F.col("path").alias("subject")), r("edges"))
+
+
+def _cycle_counts(r) -> DataFrame:
+    return _cycles(r).groupBy("subject").agg(F.count("*").alias("cycles"))
+
+
 def _signals(r) -> DataFrame:
     return signals.degree_signals(r("files"), r("edges"))
 
@@ -229,8 +242,8 @@ def rnk_sections(r, spark, d):
 
 
 @query(
-    f"""WITH {SECTIONS}, t AS (SELECT subject, count(crank) AS n_likely, count(*) FILTER (confidence = 'low' AND distance >= 2) AS low_far, count(*) FILTER (kind = 'reverse') AS importers FROM h GROUP BY 1)
-SELECT t.subject, n_likely, low_far, importers, CASE WHEN {_test('t.subject')} THEN 'low' WHEN n_likely - low_far >= 15 OR importers >= 50 THEN 'high' WHEN n_likely >= 5 OR importers >= 5 THEN 'medium' ELSE 'low' END AS level,
+    f"""WITH RECURSIVE {SECTIONS}, {CYCLES}, t AS (SELECT subject, count(crank) AS n_likely, count(*) FILTER (confidence = 'low' AND distance >= 2) AS low_far, count(*) FILTER (kind = 'reverse') AS importers FROM h GROUP BY 1)
+SELECT t.subject, n_likely, low_far, importers, CASE WHEN {_test('t.subject')} THEN CASE WHEN t.subject IN (SELECT subject FROM cyc) THEN 'medium' ELSE 'low' END WHEN n_likely - low_far >= 15 OR importers >= 50 THEN 'high' WHEN n_likely >= 5 OR importers >= 5 OR t.subject IN (SELECT subject FROM cyc) THEN 'medium' ELSE 'low' END AS level,
 CASE WHEN indegree + outdegree > 0 THEN floor(outdegree::DOUBLE / (indegree + outdegree) * 100 + 0.5) / 100 ELSE 0 END AS fragility
 FROM t JOIN sig ON sig.file_path = t.subject"""
 )
@@ -245,8 +258,8 @@ def agg_blast(r, spark, d):
         F.count(F.when(~off & (F.col("distance") == 1) & ~F.col("is_import"), 1)).alias("importers"),
     )
     s = _signals(r).withColumnRenamed("file_path", "subject")
-    level = ranking.blast(F.col("n_likely"), F.col("low_far"), F.col("importers"), P.is_test(F.col("subject")), ranking.Caps().likely_modify, F.lit(0))
-    return g.join(s, "subject").select("subject", "n_likely", "low_far", "importers", level.alias("level"), ranking.fragility(F.col("indegree"), F.col("outdegree")).alias("fragility"))
+    level = ranking.blast(F.col("n_likely"), F.col("low_far"), F.col("importers"), P.is_test(F.col("subject")), ranking.Caps().likely_modify, F.coalesce("cycles", F.lit(0)))
+    return g.join(s, "subject").join(_cycle_counts(r), "subject", "left").select("subject", "n_likely", "low_far", "importers", level.alias("level"), ranking.fragility(F.col("indegree"), F.col("outdegree")).alias("fragility"))
 
 
 @query(
@@ -261,24 +274,18 @@ def flt_hotspots(r, spark, d):
 
 
 @query(
-    f"""WITH {HOPS}, {WINDOWED}, o AS (SELECT s.path, s.partner, s.frequency FROM sym s ANTI JOIN cand c ON c.subject = s.path AND c.path = s.partner SEMI JOIN files f ON f.path = s.partner WHERE s.frequency >= 2)
+    f"""WITH {HOPS}, {WINDOWED}, o AS (SELECT s.path, s.partner, s.frequency FROM sym s ANTI JOIN cand c ON c.subject = s.path AND c.path = s.partner SEMI JOIN files f ON f.path = s.partner WHERE s.frequency >= 3)
 SELECT path, partner, frequency, rank FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY frequency DESC, partner) AS rank FROM o) WHERE rank <= 5 AND path IN (SELECT path FROM files)"""
 )
 def joi_hidden_coupling(r, spark, d):
     subjects = r("files").select(F.col("path").alias("subject"))
     near = neighbourhood.collect(subjects, r("edges")).select("subject", "path")
-    return change.hidden_coupling(r("files"), signals.co_change(_history(r)), near, r("files"), least=2)
+    return change.hidden_coupling(r("files"), signals.co_change(_history(r)), near, r("files"))
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT DISTINCT src_file, dst_file FROM edges WHERE src_file <> dst_file), w AS (SELECT src_file AS subject, [src_file] AS path, dst_file AS node, 1 AS k FROM e
-UNION ALL SELECT w.subject, list_append(w.path, w.node), e.dst_file, k + 1 FROM w JOIN e ON e.src_file = w.node WHERE k < 4 AND w.node <> w.subject AND NOT list_contains(w.path, w.node)),
-c AS (SELECT subject, list_append(path, node) AS cycle FROM w WHERE node = subject)
-SELECT subject, array_to_string(cycle, '>') AS cycle, rank FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY cycle) AS rank FROM c) WHERE rank <= 5"""
-)
+@query(f"WITH RECURSIVE {CYCLES} SELECT subject, array_to_string(cycle, '>') AS cycle, rank FROM cyc")
 def gra_cycles(r, spark, d):
-    found = neighbourhood.cycles(r("files").select(F.col("path").alias("subject")), r("edges"), depth=4)
-    return found.select("subject", F.array_join("cycle", ">").alias("cycle"), "rank")
+    return _cycles(r).select("subject", F.array_join("cycle", ">").alias("cycle"), "rank")
 
 
 @query(
@@ -377,9 +384,13 @@ def flt_tests_under_dir(r, spark, d):
     return neighbourhood.tests_in_dir(dirs, r("files").where(P.is_test(F.col("path"))), ".py", recursive=True)
 
 
-@query(f"SELECT f.path AS path, t.path AS test FROM files f JOIN files t ON {_base('t.path')} = 'test_' || regexp_replace({_base('f.path')}, '\\.py$', '') || '.py'")
+@query(
+    f"""WITH k AS (SELECT path, 'test_s' || 13 * CAST(regexp_extract({_base('path')}, '[0-9]+') AS BIGINT) || '.py' AS name FROM files WHERE regexp_matches({_base('path')}, '^s[0-9]+[.]py$'))
+SELECT k.path AS path, t.path AS test FROM k JOIN files t ON {_base('t.path')} = k.name"""
+)
 def flt_tests_by_name(r, spark, d):
-    names = r("files").select(F.col("path").alias("src"), F.concat(F.lit("test_"), P.stem(F.col("path")), F.lit(".py")).alias("name"))
+    number = F.regexp_extract(P.basename(F.col("path")), r"^s([0-9]+)\.py$", 1)
+    names = r("files").where(number != "").select(F.col("path").alias("src"), F.concat(F.lit("test_s"), (number.cast("long") * 13).cast("string"), F.lit(".py")).alias("name"))
     found = neighbourhood.files_by_name(names.select("name").distinct(), r("files"))
     return names.join(found, "name").select(F.col("src").alias("path"), F.col("path").alias("test"))
 
@@ -393,15 +404,15 @@ def agg_coupling(r, spark, d):
     return change.coupling(r("changed"), r("edges"))
 
 
-RISK = f"""{NEAR}, {DEGREE}, {WINDOWED}, cc AS (SELECT s.path, CAST(sum(frequency) AS BIGINT) AS co_change FROM sym s WHERE s.path IN (SELECT path FROM changed) AND s.partner IN (SELECT path FROM changed) GROUP BY 1),
+RISK = f"""{NEAR}, {CYCLES}, cn AS (SELECT subject AS path, count(*) AS cycles FROM cyc GROUP BY 1), {DEGREE}, {WINDOWED}, cc AS (SELECT s.path, CAST(sum(frequency) AS BIGINT) AS co_change FROM sym s WHERE s.path IN (SELECT path FROM changed) AND s.partner IN (SELECT path FROM changed) GROUP BY 1),
 nb AS (SELECT node AS path, count(*) FILTER (is_importer) AS importers, count(*) FILTER (is_import AND is_importer) AS mutual, bool_or({_test('path')} AND is_importer) AS dep FROM adj WHERE node <> path GROUP BY 1),
 nt AS (SELECT DISTINCT f.path FROM changed f JOIN files t ON {_base('t.path')} = 'test_' || regexp_replace({_base('f.path')}, '\\.py$', '') || '.py'),
-x AS (SELECT c.path, status, indexed, coalesce(importers, 0) AS importers, coalesce(mutual, 0) AS mutual, coalesce(dep, false) AS dep, nt.path IS NOT NULL AS direct, coalesce(co_change, 0) AS co_change,
+x AS (SELECT c.path, status, indexed, coalesce(importers, 0) AS importers, coalesce(mutual, 0) AS mutual, coalesce(dep, false) AS dep, nt.path IS NOT NULL AS direct, coalesce(co_change, 0) AS co_change, coalesce(cycles, 0) AS cycles,
 CASE WHEN indegree + outdegree > 0 THEN floor(outdegree::DOUBLE / (indegree + outdegree) * 100 + 0.5) / 100 ELSE 0 END AS fragility, (SELECT max(indegree) FROM sig) AS mi,
 CASE status WHEN 'added' THEN CASE WHEN {_test('c.path')} THEN 10 ELSE 20 END WHEN 'modified' THEN 30 ELSE 5 END AS base
-FROM changed c JOIN sig ON sig.file_path = c.path LEFT JOIN nb ON nb.path = c.path LEFT JOIN cc ON cc.path = c.path LEFT JOIN nt ON nt.path = c.path),
+FROM changed c JOIN sig ON sig.file_path = c.path LEFT JOIN nb ON nb.path = c.path LEFT JOIN cc ON cc.path = c.path LEFT JOIN nt ON nt.path = c.path LEFT JOIN cn ON cn.path = c.path),
 y AS (SELECT *, CASE WHEN NOT indexed THEN base ELSE greatest(0, least(100, floor((base + CASE WHEN status = 'modified' THEN CASE WHEN mi > 0 THEN least(1.0::DOUBLE, importers::DOUBLE / mi) ELSE 0 END * 3.0::DOUBLE
-+ least(10.0::DOUBLE, co_change * 2.0::DOUBLE) + fragility * 15.0::DOUBLE + mutual * 5.0::DOUBLE ELSE 0 END) * CASE WHEN {_test('path')} THEN 0.7::DOUBLE WHEN direct THEN 0.7::DOUBLE WHEN dep THEN 0.85::DOUBLE ELSE 1.2::DOUBLE END + 0.5))) END AS s FROM x),
++ least(10.0::DOUBLE, co_change * 2.0::DOUBLE) + fragility * 15.0::DOUBLE + mutual * 5.0::DOUBLE + cycles * 10.0::DOUBLE ELSE 0 END) * CASE WHEN {_test('path')} THEN 0.7::DOUBLE WHEN direct THEN 0.7::DOUBLE WHEN dep THEN 0.85::DOUBLE ELSE 1.2::DOUBLE END + 0.5))) END AS s FROM x),
 risk AS (SELECT path, status, indexed, direct, CAST(s AS BIGINT) AS risk_score, CASE WHEN s <= 20 THEN 'SAFE' WHEN s <= 50 THEN 'REVIEW' WHEN s <= 75 THEN 'TEST' ELSE 'CRITICAL' END AS risk_tier FROM y)"""
 
 
@@ -413,23 +424,24 @@ def _risk(r) -> DataFrame:
     )
     x = c.join(s.withColumnRenamed("file_path", "path"), "path").join(nb, "path", "left").join(change.changed_co_change(c, signals.co_change(_history(r))), "path", "left")
     x = x.join(change.has_named_test(c, r("files")).withColumnRenamed("has_named_test", "has_direct"), "path", "left")
-    x = x.fillna(0, ["importers", "mutual", "co_change"]).fillna(False, ["has_dependency", "has_direct"])
+    x = x.join(_cycle_counts(r).withColumnRenamed("subject", "path"), "path", "left")
+    x = x.fillna(0, ["importers", "mutual", "co_change", "cycles"]).fillna(False, ["has_dependency", "has_direct"])
     x = x.crossJoin(F.broadcast(s.agg(F.max("indegree").alias("max_indegree"))))
-    return change.risk(x.withColumns({"fragility": ranking.fragility(F.col("indegree"), F.col("outdegree")), "cycles": F.lit(0)}))
+    return change.risk(x.withColumns({"fragility": ranking.fragility(F.col("indegree"), F.col("outdegree"))}))
 
 
-@query(f"WITH {RISK} SELECT path, status, risk_score, risk_tier FROM risk")
+@query(f"WITH RECURSIVE {RISK} SELECT path, status, risk_score, risk_tier FROM risk")
 def chg_risk(r, spark, d):
     return _risk(r).select("path", "status", "risk_score", "risk_tier")
 
 
-@query(f"WITH {RISK} SELECT risk_tier, count(*) AS n, string_agg(path, ',' ORDER BY path) AS files FROM risk GROUP BY 1")
+@query(f"WITH RECURSIVE {RISK} SELECT risk_tier, count(*) AS n, string_agg(path, ',' ORDER BY path) AS files FROM risk GROUP BY 1")
 def agg_triage(r, spark, d):
     return change.triage(_risk(r))
 
 
 @query(
-    f"""WITH {RISK} SELECT max(risk_score) AS score, floor(count(*) FILTER (direct AND NOT {_test('path')})::DOUBLE / count(*) FILTER (NOT {_test('path')}) * 100 + 0.5) / 100 AS tested_share,
+    f"""WITH RECURSIVE {RISK} SELECT max(risk_score) AS score, floor(count(*) FILTER (direct AND NOT {_test('path')})::DOUBLE / count(*) FILTER (NOT {_test('path')}) * 100 + 0.5) / 100 AS tested_share,
 count(*) FILTER (risk_tier IN ('TEST', 'CRITICAL')) AS risky FROM risk"""
 )
 def agg_aggregate_risk(r, spark, d):
@@ -437,7 +449,7 @@ def agg_aggregate_risk(r, spark, d):
 
 
 @query(
-    f"""WITH {RISK}, o AS (SELECT risk_tier, {_base('path')} AS b, row_number() OVER (PARTITION BY risk_tier ORDER BY risk_score DESC, path) AS k, count(*) OVER (PARTITION BY risk_tier) AS n FROM risk)
+    f"""WITH RECURSIVE {RISK}, o AS (SELECT risk_tier, {_base('path')} AS b, row_number() OVER (PARTITION BY risk_tier ORDER BY risk_score DESC, path) AS k, count(*) OVER (PARTITION BY risk_tier) AS n FROM risk)
 SELECT risk_tier, string_agg(b, ', ' ORDER BY k) FILTER (k <= 3) || CASE WHEN max(n) > 3 THEN ' +' || (max(n) - 3) || ' more' ELSE '' END AS names FROM o GROUP BY 1"""
 )
 def srt_top_risk_names(r, spark, d):

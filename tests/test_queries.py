@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from ferngraph import code_queries  # noqa: F401
 from ferngraph import queries as engine
 
 
