@@ -5,16 +5,17 @@ of log P(word | both sides) over all its words.  Words are runs of other charact
 ASCII white space, A-Z in lower case; each is an entry of its own under a 64-bit hash.
 
 Gathered are the counts of all words and of all pairs of neighbours in the corpus, a table
-that grows with it.  The commonest words are classes of their own, the others share classes
-by frequency.  A small network predicts the class from the classes of two words on each
-side; it trains on counts of (context, class) over all words.  Class times frequency within
-the class is what the pair counts are smoothed with: P is the mean of
-(n(left, word) + MU * base) / (n(left) + MU) and the same of the right side, each of which
-sums to 1 over all words and one unseen word.
-
-No table of words is held by a task: texts are dealt into blocks, the distinct words and
-pairs of a block are joined with the counts, and come back to the block.  No word is left
-out, and reruns agree whatever the partitions.
+that grows with it: words and pairs are cells of a table with eight cells or more for each
+word of the corpus (and 2^40 at least), held as packed buckets of sorted cells.  The
+commonest words are classes of their own, the others share classes by frequency (that of
+their cell of a fixed sketch).  A small network predicts the class from the classes of two
+words on each side; it trains on counts of (context, class) over all words.  Class times
+frequency within the class is what the pair counts are smoothed with: P is the mean of
+(n(left, word) + MU * base) / (n(left) + MU) and the same of the right side.
+
+No table of words is held by a task: texts are dealt into blocks, each block asks the
+buckets for its distinct words and pairs, and the answers come back to the block in the
+order of the cells.  No word is left out, and reruns agree whatever the partitions.
 
 Defined results: null, empty and blank texts have no words, score 0 and a null mean; an
 empty corpus gives a uniform model.
@@ -22,6 +23,8 @@ empty corpus gives a uniform model.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,11 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ferngraph.llm import kernel
+from ferngraph.llm import kernel, setjoin
 from ferngraph.session import extended, ship, written
 
 #: Bytes of text whose words are looked up together.
 BLOCK = 1 << 22
+#: A task counts so many words before it passes its counts on.
+FLUSH = 1 << 21
+#: Least bits of a cell, and about how many bytes of text one bucket of cells stands for.
+BITS, BUCKET = 40, 3 << 20
 #: Weight of the smoothing, in words.
 MU = 50.0
 #: Class 0 is the edge of a text.
@@ -68,116 +75,231 @@ def _context(w: kernel.Words, cls: np.ndarray, coarse: np.ndarray) -> np.ndarray
     return ((coarse[side(-2)] * CLASSES + side(-1)) * CLASSES + side(1)) * COARSE + coarse[side(2)]
 
 
-def _tally(batches):
-    """(word, key, n, first, last) of the words and pairs of each block; first and last count
-    the words that open and close a text."""
-    for b in batches:
-        buf, bounds = kernel.buffers(b.column(0))
-        for i, j in kernel.chunks(bounds, BLOCK):
-            w = kernel.Words(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            words, of = np.unique(w.hash, return_inverse=True)
-            pairs, n = np.unique(_pairs(w)[1], return_counts=True)
-            none = np.zeros(len(pairs), np.int64)
-            per = [np.bincount(x, minlength=len(words)) for x in (of, *(of[e] for e in _ends(w)))]
-            cols = [np.arange(len(words) + len(pairs)) < len(words), np.concatenate((words, pairs)).view(np.int64), np.concatenate((per[0], n)), np.concatenate((per[1], none)), np.concatenate((per[2], none))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["word", "key", "n", "first", "last"])
+# --- packed counts ----------------------------------------------------------------
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, of which the upper ones are mostly zero."""
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(planes.tobytes(), 1)
+
+
+def _unpack(data) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def _pack_cells(cells: np.ndarray) -> bytes:
+    return _pack(np.diff(cells, prepend=np.uint64(0)))
+
+
+def _unpack_cells(data) -> np.ndarray:
+    return np.cumsum(_unpack(data), dtype=np.uint64)
+
+
+class Layout:
+    """Bits of a cell, and of its bucket (the upper ones)."""
+
+    def __init__(self, size: int):
+        self.bits = max(BITS, int(4 * size).bit_length())
+        self.upper = max(0, (size // BUCKET).bit_length())
+
+    def cells(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.bits)
+
+    def cut(self, cells: np.ndarray) -> list[tuple[int, int, int]]:
+        """(bucket, first, last) of sorted cells."""
+        if not len(cells):
+            return []
+        bucket = (cells >> np.uint64(self.bits - self.upper)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        return list(zip(bucket[begin].tolist(), begin.tolist(), np.append(begin[1:], len(bucket)).tolist(), strict=True))
+
+
+COUNTS = "word boolean, bucket int, cells binary, n binary, first binary, last binary"
+_COUNT_TYPES = (pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+_COUNT_NAMES = [c.split()[0] for c in COUNTS.split(", ")]
+
+
+def _count_rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _COUNT_TYPES, strict=True)], _COUNT_NAMES)
+
+
+def _tally(layout: Layout):
+    """Counts of words (and of those that open and close a text) and of pairs, by bucket."""
+
+    def counted(words: list, firsts: list, lasts: list, pairs: list) -> pa.RecordBatch:
+        cells, n = np.unique(np.concatenate(words), return_counts=True)
+        ends = [np.bincount(np.searchsorted(cells, np.concatenate(e)), minlength=len(cells)) for e in (firsts, lasts)]
+        rows = [(True, k, _pack_cells(cells[i:j]), _pack(n[i:j]), *(_pack(e[i:j]) for e in ends)) for k, i, j in layout.cut(cells)]
+        cells, n = np.unique(np.concatenate(pairs), return_counts=True)
+        rows += [(False, k, _pack_cells(cells[i:j]), _pack(n[i:j]), None, None) for k, i, j in layout.cut(cells)]
+        return _count_rows(rows)
+
+    def run(batches):
+        held: tuple[list, ...] = ([], [], [], [])
+        for b in batches:
+            buf, bounds = kernel.buffers(b.column(0))
+            for i, j in kernel.chunks(bounds):
+                w = kernel.Words(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                words = layout.cells(w.hash)
+                for x, new in zip(held, (words, *(words[e] for e in _ends(w)), layout.cells(_pairs(w)[1])), strict=True):
+                    x.append(new)
+                if sum(map(len, held[0])) >= FLUSH:
+                    yield counted(*held)
+                    held = ([], [], [], [])
+        if held[0]:
+            yield counted(*held)
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """One row for all rows of a bucket."""
+    word, bucket = table["word"][0].as_py(), table["bucket"][0].as_py()
+    cells, of = np.unique(np.concatenate([_unpack_cells(x) for x in table["cells"].to_pylist()]), return_inverse=True)
+    total = lambda c: _pack(np.bincount(of, np.concatenate([_unpack(x) for x in table[c].to_pylist()]), len(cells)).astype(np.int64))
+    row = (word, bucket, _pack_cells(cells), total("n"), *((total("first"), total("last")) if word else (None, None)))
+    return pa.Table.from_batches([_count_rows([row])])
+
+
+# --- blocks and lookups -----------------------------------------------------------
 
 
 def _deal(batches):
-    """Numbers the blocks: _block before the other columns."""
+    """Numbers the blocks and the rows in them: _block and _at before the other columns."""
     task, k = TaskContext.get().partitionId() << 32, 0
     for b in batches:
         _, bounds = kernel.buffers(b.column(0))
         for i, j in kernel.chunks(bounds, BLOCK):
             part = b.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, task + k)), *part.columns], ["_block", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, task + k)), pa.array(np.arange(j - i)), *part.columns], ["_block", "_at", *b.schema.names])
             k += 1
 
 
-def _wanted(pairs: bool):
+def _asked(w: kernel.Words, layout: Layout) -> tuple:
+    """Distinct cells of the words and of the pairs, each with the place of every one, and
+    where the pairs' left words stand."""
+    at, key = _pairs(w)
+    return (*np.unique(layout.cells(w.hash), return_inverse=True), *np.unique(layout.cells(key), return_inverse=True), at)
+
+
+def _ask(layout: Layout):
+    """(block, at, word, bucket, cells) for runs of a block's rows that begin at ``at``."""
+    names, types = ["block", "at", "word", "bucket", "cells"], (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+
     def run(batches):
         for b in batches:
-            block = b.column(0).to_numpy()
-            buf, bounds = kernel.buffers(b.column(1))
-            cuts = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)])) if len(block) else []
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                w = kernel.Words(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                words = np.unique(w.hash)
-                keys = np.concatenate((words, np.unique(_pairs(w)[1]))) if pairs else words
-                cols = [np.full(len(keys), block[i]), np.arange(len(keys)) < len(words), keys.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_block", "word", "key"])
+            block, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            buf, bounds = kernel.buffers(b.column(2))
+            begin = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (at[1:] != at[:-1] + 1)))) if len(block) else []
+            for i, j in zip(begin, [*begin[1:], len(block)], strict=True):
+                words, _, pairs, _, _ = _asked(kernel.Words(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]), layout)
+                rows = [(int(block[i]), int(at[i]), kind, k, _pack_cells(c[x:y])) for kind, c in ((True, words), (False, pairs)) for k, x, y in layout.cut(c)]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return run
 
 
-def _with_counts(df: DataFrame, counts: DataFrame, pairs: bool, run, schema) -> DataFrame:
-    """``run(rows, counts)`` for each block of ``df``, whose first column is the text, with the
-    counts of its words, and of its pairs if asked for."""
-    fields = StructType([StructField("_block", LongType()), *extended(df, 0, "x int").fields[:-1]])
-    dealt = written(df.mapInArrow(_deal, fields), "blocks")
-    table = counts if pairs else counts.where("word")
-    met = dealt.select("_block", df.columns[0]).mapInArrow(_wanted(pairs), "_block long, word boolean, key long").join(table, ["word", "key"])
-    return met.groupBy("_block").cogroup(dealt.groupBy("_block")).applyInArrow(run, schema)
+ANSWER = "block long, at long, word boolean, bucket int, n binary, first binary, last binary"
 
 
-class Found:
-    """Counts of a block's words and pairs, by their keys."""
+def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """The counts of the cells that each block asks a bucket for, in their order; 0 where none are."""
+    have = _unpack_cells(known["cells"][0].as_py()) if known.num_rows else np.empty(0, np.uint64)
+    counts = {c: _unpack(known[c][0].as_py()) if known.num_rows and known[c][0].is_valid else None for c in ("n", "first", "last")}
+    out: dict[str, list] = {"n": [], "first": [], "last": []}
+    for data in asked["cells"].to_pylist():
+        cells = _unpack_cells(data)
+        at = np.minimum(np.searchsorted(have, cells), max(len(have) - 1, 0))
+        hit = have[at] == cells if len(have) else np.zeros(len(cells), bool)
+        for c, x in counts.items():
+            out[c].append(_pack(np.where(hit, x[at], 0)) if x is not None else None)
+    return pa.table([asked[c] for c in ("block", "at", "word", "bucket")] + [pa.array(out[c], pa.binary()) for c in ("n", "first", "last")], names=[c.split()[0] for c in ANSWER.split(", ")])
 
-    def __init__(self, table: pa.Table):
-        word = table.column("word").to_numpy()
-        key = table.column("key").to_numpy().view(np.uint64)
-        self.of = {}
-        for kind in (True, False):
-            at = np.flatnonzero(word == kind)
-            at = at[np.argsort(key[at])]
-            self.of[kind] = (key[at], *(table.column(c).to_numpy()[at] for c in ("n", "first", "last")))
 
-    def __call__(self, keys: np.ndarray, kind: bool) -> list[np.ndarray]:
-        """n, first and last of each key; 0 where there is none."""
-        have, *counts = self.of[kind]
-        if not len(have):
-            return [np.zeros(len(keys), np.int64)] * 3
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return [np.where(have[at] == keys, c[at], 0) for c in counts]
+def _answers(table: pa.Table, at: int, word: bool, sizes: int) -> list[np.ndarray]:
+    """n, first and last of all cells of one run, joined from its buckets."""
+    rows = sorted((r for r in table.to_pylist() if r["at"] == at and r["word"] == word), key=lambda r: r["bucket"])
+    out = []
+    for c in ("n", "first", "last"):
+        got = [_unpack(r[c]).astype(np.int64) for r in rows if r[c] is not None]
+        out.append(np.concatenate(got) if got else np.zeros(sizes, np.int64))
+    return out
+
+
+# --- classes ----------------------------------------------------------------------
 
 
 class Classes:
-    """Class of each word: the commonest have one each, the rest share the others by frequency,
-    in equal shares of their mass.  ``base`` is log P(word | class)."""
+    """Class of each word by its cell: the commonest have one each, the rest share the others by
+    the count of their cell of a sketch, in equal shares of their mass."""
 
     OWN = (CLASSES - 1) * 3 // 4
 
     def __init__(self, counts: DataFrame):
-        words = counts.where("word")
-        own = words.orderBy(F.desc("n"), "key").limit(self.OWN).collect()
-        hist = dict(words.groupBy("n").count().collect())
-        for r in own:
-            hist[r["n"]] -= 1
-        self.texts = words.agg(F.coalesce(F.sum("first"), F.lit(0))).first()[0]
-        keys = np.array([r["key"] for r in own], np.int64).view(np.uint64)
+        own = self.OWN
+
+        def summary(batches):
+            sketch, texts, cells, n = setjoin.Sketch(), 0, [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            for b in batches:
+                for r in b.to_pylist():
+                    c, m = _unpack_cells(r["cells"]), _unpack(r["n"])
+                    sketch.counts += np.bincount(setjoin.cells(c), m, setjoin.SKETCH).astype(np.int64)
+                    texts += int(_unpack(r["first"]).sum())
+                    best = np.lexsort((c, -m.astype(np.int64)))[:own]
+                    cells.append(c[best])
+                    n.append(m[best])
+            cells, n = np.concatenate(cells), np.concatenate(n)
+            block, data = sketch.rows()
+            k, m = len(cells), len(block)
+            nothing = pa.nulls
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*cells.tolist(), *[None] * (m + 1)], pa.int64()), pa.array([*n.tolist(), *[None] * (m + 1)], pa.int64()), pa.concat_arrays([nothing(k + m, pa.int64()), pa.array([texts], pa.int64())]),
+                 pa.array([*[None] * k, *block, None], pa.int32()), pa.array([*[None] * k, *data, None], pa.binary())],
+                ["cell", "n", "texts", "block", "counts"],
+            )
+
+        found = written(counts.where("word").mapInArrow(summary, "cell long, n long, texts long, block int, counts binary"), "summary")
+        self.texts = found.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
+        top = found.where("cell is not null").orderBy(F.desc("n"), "cell").limit(own).collect()
+        mass = setjoin.summed(found.where("block is not null").select("block", "counts"), setjoin.SKETCH).astype(np.float64)
+        keys = np.array([r["cell"] for r in top], np.int64).view(np.uint64)
+        np.subtract.at(mass, setjoin.cells(keys), np.array([r["n"] for r in top], float))
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
-        self.size = np.array(sorted(hist), np.int64)
-        many = np.array([hist[n] for n in self.size.tolist()], np.int64)
-        mass = (self.size * many).astype(np.float64)
-        above = mass[::-1].cumsum()[::-1] - mass / 2
-        share = above / max(mass.sum(), 1.0)
-        rest = CLASSES - 1 - self.OWN
-        self.by_size = self.OWN + 1 + np.minimum((share * rest).astype(np.int64), rest - 1)
-        # one word more in the rarest class: any unseen one
-        self.room = np.bincount(self.by_size, mass + many, CLASSES)
-        self.room[CLASSES - 1] += 1
-
-    def __call__(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(class, base) of words by key and count."""
-        if not len(self.size):
-            return np.full(len(keys), CLASSES - 1), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.size, n), len(self.size) - 1)
-        cls = np.where(n > 0, self.by_size[at], CLASSES - 1)
-        base = np.log((n + 1.0) / np.maximum(self.room[cls], n + 1.0))
-        own = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[own] == keys
-        return np.where(hit, 1 + self.order[own], cls), np.where(hit, 0.0, base)
+        down = np.argsort(-mass, kind="stable")
+        share = (np.cumsum(mass[down]) - mass[down] / 2) / max(mass.sum(), 1.0)
+        rest = CLASSES - 1 - own
+        self.of_cell = np.empty(setjoin.SKETCH, np.uint8)
+        self.of_cell[down] = np.where(mass[down] > 0, own + 1 + np.minimum((share * rest).astype(np.int64), rest - 1), CLASSES - 1)
+        self.room = np.ones(CLASSES)
+        shared = counts.sparkSession.sparkContext.broadcast(self)
+
+        def rooms(batches):
+            total = np.zeros(CLASSES, np.int64)
+            for b in batches:
+                for r in b.to_pylist():
+                    c, m = _unpack_cells(r["cells"]), _unpack(r["n"]).astype(np.int64)
+                    total += np.bincount(shared.value(c), m + 1, CLASSES).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total)], ["class", "n"])
+
+        # and one word more in each: any unseen one
+        for r in counts.where("word").mapInArrow(rooms, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+            self.room[r["class"]] += r["n"]
+
+    def __call__(self, cells: np.ndarray) -> np.ndarray:
+        cls = self.of_cell[setjoin.cells(cells)].astype(np.int64)
+        if not len(self.keys):
+            return cls
+        own = np.minimum(np.searchsorted(self.keys, cells), len(self.keys) - 1)
+        return np.where(self.keys[own] == cells, 1 + self.order[own], cls)
+
+    def base(self, cls: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log P(word | class) by class and count."""
+        return np.where(cls <= self.OWN, 0.0, np.log((n + 1.0) / np.maximum(self.room[cls], n + 1.0)))
 
 
 class Network:
@@ -233,10 +355,20 @@ class Network:
 
 
 class Model:
-    """``counts``: (word, key, n, first, last), a table as large as the corpus asks for."""
+    """``counts``: COUNTS, a table as large as the corpus asks for."""
+
+    def __init__(self, counts: DataFrame, layout: Layout, cls: Classes, coarse: np.ndarray, log_p: np.ndarray, losses: list[float]):
+        self.counts, self.layout, self.cls, self.coarse, self.log_p, self.losses = counts, layout, cls, coarse, log_p, losses
 
-    def __init__(self, counts: DataFrame, cls: Classes, coarse: np.ndarray, log_p: np.ndarray, losses: list[float]):
-        self.counts, self.cls, self.coarse, self.log_p, self.losses = counts, cls, coarse, log_p, losses
+    def words(self) -> DataFrame:
+        """(cell, n) of all words."""
+
+        def run(batches):
+            for b in batches:
+                for r in b.to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(_unpack_cells(r["cells"]).view(np.int64)), pa.array(_unpack(r["n"]).view(np.int64))], ["cell", "n"])
+
+        return self.counts.where("word").mapInArrow(run, "cell long, n long")
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
@@ -244,47 +376,61 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
-    tally = rows.mapInArrow(_tally, "word boolean, key long, n long, first long, last long")
-    counts = written(tally.groupBy("word", "key").agg(*[F.sum(c).alias(c) for c in ("n", "first", "last")]), "counts")
+    layout = Layout(int(rows.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]))
+    counts = written(rows.mapInArrow(_tally(layout), COUNTS).groupBy("word", "bucket").applyInArrow(_summed, COUNTS), "counts")
     classes = Classes(counts)
     coarse = np.concatenate(([0], 1 + np.arange(CLASSES - 1) * (COARSE - 1) // (CLASSES - 1)))
     shared = spark.sparkContext.broadcast((classes, coarse))
 
-    def joint(found: pa.Table, block: pa.Table) -> pa.Table:
+    def joint(batches):
         classes, coarse = shared.value
-        w = kernel.Words(*kernel.buffers(block.column("_text")))
-        c, _ = classes(w.hash, Found(found)(w.hash, True)[0])
-        cell, n = np.unique(_context(w, c, coarse) * CLASSES + c, return_counts=True)
-        return pa.table({"cell": pa.array(cell.astype(np.int32)), "n": pa.array(n)})
-
-    summed = _with_counts(rows, counts, False, joint, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    met = np.zeros(CONTEXTS * CLASSES)
-    met[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
+        met = np.zeros(CONTEXTS * CLASSES, np.int64)
+        for b in batches:
+            buf, bounds = kernel.buffers(b.column(0))
+            for i, j in kernel.chunks(bounds):
+                w = kernel.Words(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                c = classes(layout.cells(w.hash))
+                met += np.bincount(_context(w, c, coarse) * CLASSES + c, minlength=CONTEXTS * CLASSES)
+        block, data = setjoin.block_rows(met)
+        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(data, pa.binary())], ["block", "counts"])
+
+    met = setjoin.summed(rows.mapInArrow(joint, "block int, counts binary"), CONTEXTS * CLASSES).astype(np.float64)
     net = Network()
     losses = net.train(met.reshape(CONTEXTS, CLASSES))
-    return Model(counts, classes, coarse, net.log_p().astype(np.float32), losses)
+    return Model(counts, layout, classes, coarse, net.log_p().astype(np.float32), losses)
 
 
 def _score(shared, keep: list[str], fitted: bool):
     own = int(fitted)
 
-    def run(found: pa.Table, block: pa.Table) -> pa.Table:
-        classes, coarse, log_p = shared.value
-        w = kernel.Words(*kernel.buffers(block.column("_text")))
-        look = Found(found)
-        n, first, last = look(w.hash, True)
-        c, base = classes(w.hash, n)
-        base = np.exp(log_p[_context(w, c, coarse), c] + base)
+    def scored(w: kernel.Words, found: pa.Table, at: int) -> tuple[np.ndarray, np.ndarray]:
+        layout, classes, coarse, log_p = shared.value
+        words, of, pairs, of_pair, left_at = _asked(w, layout)
+        n, first, last = (x[of] for x in _answers(found, at, True, len(words)))
+        met = _answers(found, at, False, len(pairs))[0][of_pair]
+        c = classes(words)[of]
+        base = np.exp(log_p[_context(w, c, coarse), c] + classes.base(c, n))
         # of each word: how often it stands beside this neighbour, and how often the neighbour has one
-        at, key = _pairs(w)
-        met = look(key, False)[0]
         with_left, left, with_right, right = first.copy(), np.full(len(n), classes.texts), last.copy(), np.full(len(n), classes.texts)
-        with_left[at + 1], left[at + 1] = met, (n - last)[at]
-        with_right[at], right[at] = met, (n - first)[at + 1]
+        with_left[left_at + 1], left[left_at + 1] = met, (n - last)[left_at]
+        with_right[left_at], right[left_at] = met, (n - first)[left_at + 1]
         side = lambda a, b: (np.maximum(a - own, 0) + MU * base) / (np.maximum(b - own, 0) + MU)
         lp = np.log((side(with_left, left) + side(with_right, right)) / 2)
         size = np.diff(w.first)
-        total = np.bincount(w.row, lp, minlength=len(size)).astype(np.float64)
+        return size, np.bincount(w.row, lp, minlength=len(size)).astype(np.float64)
+
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        block = block.sort_by("_at")
+        order = block.column("_at").to_numpy()
+        # rows were asked for in runs, which begin where an answer says
+        begin = sorted({0, *np.searchsorted(order, np.unique(found.column("at").to_numpy())).tolist()})
+        sizes, totals = [np.empty(0, np.int64)], [np.empty(0)]
+        for i, j in zip(begin, [*begin[1:], block.num_rows], strict=True):
+            part = block.column("_text").slice(i, j - i)
+            size, total = scored(kernel.Words(*kernel.buffers(part)), found, int(order[i]) if j > i else 0)
+            sizes.append(size)
+            totals.append(total)
+        size, total = np.concatenate(sizes), np.concatenate(totals)
         mean = pa.array(total / np.maximum(size, 1), mask=size == 0)
         return pa.table([*[block.column(k) for k in keep], pa.array(size), pa.array(total), mean], names=[*keep, "n_words", "log_likelihood", "mean_log_likelihood"])
 
@@ -300,5 +446,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     ship(docs.sparkSession)
     x = docs.select(F.col(text).alias("_text"), *keep)
     schema = extended(x, 1, "n_words long, log_likelihood double, mean_log_likelihood double")
-    shared = docs.sparkSession.sparkContext.broadcast((model.cls, model.coarse, model.log_p))
-    return _with_counts(x, model.counts, True, _score(shared, keep, fitted), schema)
+    dealt = written(x.mapInArrow(_deal, StructType([StructField("_block", LongType()), StructField("_at", LongType()), *x.schema.fields])), "blocks")
+    asked = dealt.select("_block", "_at", "_text").mapInArrow(_ask(model.layout), "block long, at long, word boolean, bucket int, cells binary")
+    answers = asked.groupBy("word", "bucket").cogroup(model.counts.groupBy("word", "bucket")).applyInArrow(_answer, ANSWER)
+    shared = docs.sparkSession.sparkContext.broadcast((model.layout, model.cls, model.coarse, model.log_p))
+    return dealt.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_score(shared, keep, fitted), schema)

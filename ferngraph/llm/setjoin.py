@@ -47,6 +47,11 @@ PAIRS = "a long, b long, open boolean, key long, set long, ord long, n int, pos
 # --- rarity -----------------------------------------------------------------------
 
 
+def block_rows(counts: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Counters as BLOCKS rows."""
+    return list(range(BLOCKS)), [zlib.compress(p.tobytes(), 1) for p in counts.astype(np.uint64).reshape(BLOCKS, -1)]
+
+
 class Sketch:
     """A task's counters of elements."""
 
@@ -66,10 +71,7 @@ class Sketch:
     def rows(self) -> tuple[list[int], list[bytes]]:
         """The counters as BLOCKS rows; none, if all are 0."""
         self._settle()
-        if not self.counts.any():
-            return [], []
-        parts = self.counts.astype(np.uint64).reshape(BLOCKS, -1)
-        return list(range(BLOCKS)), [zlib.compress(p.tobytes(), 1) for p in parts]
+        return block_rows(self.counts) if self.counts.any() else ([], [])
 
 
 def _sum_blocks(t: pa.Table) -> pa.Table:

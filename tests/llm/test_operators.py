@@ -247,7 +247,7 @@ def test_masked_lm_tells_words_of_a_class_apart(spark):
         rng.shuffle(even)
         rows.append((len(rows), " ".join(f"{w} {after[w]}" for w in even)))
     model = masked_lm.fit(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert model.counts.where("word").agg(F.count("*"), F.sum("n")).first()[:] == (400, 12000)
+    assert model.words().agg(F.count("*"), F.sum("n")).first()[:] == (400, 12000)
     texts = [(1, "w100 w101 w200 w201"), (2, "w100 w201 w200 w101"), (3, "w100 w101 w200 unseen")]
     got = {r.doc_id: r.log_likelihood for r in masked_lm.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
     assert got[1] > got[2] + 2 and got[1] > got[3] + 2
@@ -290,9 +290,9 @@ def test_chroma_tries_each_offset(spark):
     a = b ^ np.uint32(1)
     a[300:315], a[350:365] = b[300:315], b[350:365]
     a[10:50] = b[200:240]  # most votes stand for this offset, where all else differs
-    df = spark.createDataFrame([("a", a.tobytes()), ("b", b.tobytes())], "class string, ints binary")
-    got = chroma.align(df.where("class = 'a'"), df).collect()
-    assert [(r["query"], r["class"], r["offset"]) for r in got] == [("a", "b", 0)]
+    df = spark.createDataFrame([(1, a.tobytes()), (2, b.tobytes())], "class long, ints binary")
+    got = chroma.align(df.where("class = 1"), df).collect()
+    assert [(r["query"], r["class"], r["offset"]) for r in got] == [(1, 2, 0)]
 
 
 def test_chat_tree(spark):
