@@ -12,7 +12,11 @@ all landmarks of both count.  Postings that meet vote for an offset; each offset
 votes (fewer where few landmarks are posted) is checked by the share of differing bits over
 the whole overlap, and the best of those that pass is reported.
 
-Recordings with equal fingerprints are one class and are matched once.  Defined results:
+Recordings with equal fingerprints (by a 64-bit hash) are one class and are matched once.
+Query classes are few against the recordings: each landmark brings its queries as a list, in
+parts of about ``ASKS``, so a posting of a recording meets one row of them and not one for
+each query, and postings that no query asks for don't move at all.  Votes are counted by
+recording.  Defined results:
 media of fewer than ``LEAST`` bytes are followed by silence up to there; null and empty
 media have no integers, are a class by themselves (each) and match nothing; media are
 read whole, in pieces.
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferngraph.llm import kernel
+from ferngraph.llm import kernel, setjoin
 from ferngraph.session import extended, ship, written
 
 FRAME, HOP, RATE, WIDTH = 128, 32, 8000, 8
@@ -34,8 +38,8 @@ MIN_VOTES, MAX_ERROR = 2, 0.3
 PIECE = 1 << 18
 #: Bytes of a recording with one landmark.
 LEAST = FRAME + (WIDTH + RUN - 2) * HOP
-#: Bits of the filter of short queries' landmarks; it only spares postings that meet nothing.
-FILTER = 1 << 23
+#: The queries of a landmark come in lists of about so many.
+ASKS = 1024
 # Fixed values: (kind, first pitch class, height, width in frames) of the 16 filters.
 FILTERS = (
     (0, 0, 12, 8), (0, 3, 6, 6), (1, 0, 12, 8), (1, 2, 8, 6), (2, 0, 12, 8), (2, 4, 4, 4), (3, 0, 12, 6), (3, 5, 6, 8),
@@ -133,33 +137,90 @@ def prints(df: DataFrame, media: Column, keep: list[str]) -> DataFrame:
     return x.mapInArrow(_prints, extended(x, 1, "ints binary"))
 
 
-POSTING = "class string, key long, pos long, won boolean, short boolean, posted int"
+POSTING = "class long, key long, pos long, won boolean, short boolean, posted int"
+# What a recording looks for: any landmark of a query, a winnowed one, one of a short query.
+ANY, WON, SHORT = 0, 0x5DEECE66D, 0x2545F4914F6CDD1D
 
 
-def _post(wanted):
-    """Postings: all landmarks of short recordings; of the others the winnowed ones, and those
-    that ``wanted`` may ask for (a broadcast filter; None: all)."""
+def _post(asked):
+    """Postings of all landmarks; with ``asked``, a filter of what queries ask for, only of those
+    that may meet one: all of short recordings, of the others the winnowed ones and those of
+    short queries."""
 
     def run(batches):
-        asked = None if wanted is None else np.unpackbits(wanted.value, bitorder="little").view(bool)
+        names = [x.split()[0] for x in POSTING.split(", ")]
         for b in batches:
-            out: list[tuple] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool), np.empty(0, np.int32))]
-            cls: list[str] = []
+            out: list[tuple] = [tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, bool, bool, np.int32))]
             for c, ints in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h, won = landmarks(np.frombuffer(ints, "<u4"))
-                at = np.arange(len(h)) if asked is None else np.flatnonzero(won | asked[(h & np.uint64(FILTER - 1)).astype(np.int64)])
+                key, short = h.view(np.int64), len(h) <= WINNOW
+                at = np.arange(len(h))
+                if asked is not None:
+                    has = lambda tag, k=key: asked.value.has(k ^ np.int64(tag))
+                    at = np.flatnonzero(has(ANY) if short else won & has(WON) | has(SHORT))
                 n = len(at)
-                cls += [c] * n
-                out.append((h[at].view(np.int64), at, won[at], np.full(n, len(h) <= WINNOW), np.full(n, won.sum(), np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.string()), *[pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]], [x.split()[0] for x in POSTING.split(", ")])
+                out.append((np.full(n, c, np.int64), key[at], at, won[at], np.full(n, short), np.full(n, won.sum(), np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
 
     return run
 
 
+class _Votes:
+    """Votes by (class, query, offset) of rows sorted by class."""
+
+    def __init__(self):
+        self.held = [np.empty(0, np.int64)] * 5
+
+    def add(self, new: list[np.ndarray]) -> list[np.ndarray]:
+        """Merged votes of all classes but the last, which may go on."""
+        x = [np.concatenate(p) for p in zip(self.held, new, strict=True)]
+        order = np.lexsort((x[2], x[1], x[0]))
+        x = [c[order] for c in x]
+        if not len(order):
+            return x
+        begin = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in x[:3]], axis=0))))
+        x = [*[c[begin] for c in x[:3]], np.add.reduceat(x[3], begin), np.minimum.reduceat(x[4], begin)]
+        cut = int(np.searchsorted(x[0], x[0][-1]))
+        self.held = [c[cut:] for c in x]
+        return [c[:cut] for c in x]
+
+
+def _tried(x: list[np.ndarray]) -> pa.RecordBatch:
+    """(query, class, offsets) of the offsets with enough votes."""
+    cls, query, offset, votes, few = x
+    ok = votes >= np.minimum(MIN_VOTES, -(-few // 4))
+    cls, query, offset, votes = cls[ok], query[ok], offset[ok], votes[ok]
+    begin = np.flatnonzero(np.concatenate(([True], (cls[1:] != cls[:-1]) | (query[1:] != query[:-1])))) if len(cls) else np.empty(0, np.int64)
+    pairs = pa.StructArray.from_arrays([pa.array(votes), pa.array(offset)], ["votes", "offset"])
+    offsets = pa.ListArray.from_arrays(pa.array(np.append(begin, len(cls)).astype(np.int32)), pairs)
+    return pa.RecordBatch.from_arrays([pa.array(query[begin]), pa.array(cls[begin]), offsets], ["query", "class", "offsets"])
+
+
+def _vote(batches):
+    """(class, pos, won, short, posted, asks), sorted by class -> pairs with their offsets."""
+    votes = _Votes()
+    for b in batches:
+        asks = b.column(5)
+        size = asks.value_lengths().to_numpy()
+        flat = asks.flatten()
+        query, at, q_won, q_short, q_posted = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        row = np.repeat(np.arange(b.num_rows), size)
+        cls, pos, won, short, posted = (b.column(k).to_numpy(zero_copy_only=False)[row] for k in range(5))
+        ok = np.flatnonzero((query != cls) & (q_short | short | q_won & won))
+        # in steps, so that one batch of long lists stays small
+        for i in range(0, len(ok), 1 << 20):
+            k = ok[i : i + (1 << 20)]
+            done = votes.add([cls[k], query[k], pos[k] - at[k], np.ones(len(k), np.int64), np.minimum(posted[k], q_posted[k]).astype(np.int64)])
+            if len(done[0]):
+                yield _tried(done)
+    if len(votes.held[0]):
+        yield _tried(votes.held)
+
+
 def _errors(batches):
     """The best offset by votes of each pair among those whose bits agree."""
     names = ["query", "class", "offset", "votes", "overlap", "bit_error"]
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
     for b in batches:
         out = []
         for q, c, offsets, x, y in zip(*[b.column(k).to_pylist() for k in ("query", "class", "offsets", "x", "y")], strict=True):
@@ -178,29 +239,28 @@ def _errors(batches):
 def align(queries: DataFrame, recordings: DataFrame) -> DataFrame:
     """Classes (class, ints) of queries against classes of recordings: (query, class, offset,
     votes, overlap, bit_error) of the pairs that align.  Equal classes are left out."""
-    q = queries.select("class", "ints").mapInArrow(_post(None), POSTING)
-    bits = np.zeros(FILTER, bool)
-    for r in q.where("short").select(F.col("key").bitwiseAND(FILTER - 1).alias("k")).distinct().toLocalIterator():
-        bits[r["k"]] = True
-    asked = queries.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    q = written(queries.select("class", "ints").mapInArrow(_post(None), POSTING), "asked")
+    tags = F.array(F.col("key"), F.when(F.col("won"), F.col("key").bitwiseXOR(F.lit(WON))), F.when(F.col("short"), F.col("key").bitwiseXOR(F.lit(SHORT))))
+    ids = written(q.select(F.explode(F.array_compact(tags)).alias("id")).distinct(), "ids")
+    asked = queries.sparkSession.sparkContext.broadcast(setjoin.id_filter(ids, "id"))
+    most = q.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("class", "pos"), F.lit(most // ASKS + 1))
+    ask = F.struct(F.col("class").alias("query"), F.col("pos").alias("at"), F.col("won").alias("q_won"), F.col("short").alias("q_short"), F.col("posted").alias("q_posted"))
+    asks = q.groupBy("key", part.alias("part")).agg(F.collect_list(ask).alias("asks"))
     r = recordings.select("class", "ints").mapInArrow(_post(asked), POSTING)
-    q = q.select("key", *[F.col(a).alias(b) for a, b in (("class", "query"), ("pos", "at"), ("won", "q_won"), ("short", "q_short"), ("posted", "q_posted"))])
-    met = q.join(r, "key").where((F.col("query") != F.col("class")) & (F.col("q_short") | F.col("short") | F.col("q_won") & F.col("won")))
-    few = F.least("q_posted", "posted")
-    votes = met.groupBy("query", "class", (F.col("pos") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"), F.min(few).alias("few"))
-    enough = votes.where(F.col("votes") >= F.least(F.lit(MIN_VOTES), F.ceil(F.col("few") / 4)))
-    tried = enough.groupBy("query", "class").agg(F.collect_list(F.struct("votes", "offset")).alias("offsets"))
+    met = r.join(asks, "key").select("class", "pos", "won", "short", "posted", "asks")
+    tried = met.repartition("class").sortWithinPartitions("class").mapInArrow(_vote, "query long, class long, offsets array<struct<votes:long,offset:long>>")
     x = queries.select(F.col("class").alias("query"), F.col("ints").alias("x"))
     y = recordings.select("class", F.col("ints").alias("y"))
     pairs = tried.join(x, "query").join(y, "class").select("query", "class", "offsets", "x", "y")
-    return pairs.mapInArrow(_errors, "query string, class string, offset long, votes long, overlap long, bit_error double")
+    return pairs.mapInArrow(_errors, "query long, class long, offset long, votes long, overlap long, bit_error double")
 
 
 def search(df: DataFrame, key: str, media: Column, is_query: Column) -> DataFrame:
     """One row per recording: key, n_ints, class_id (the least key of its class), is_query,
     and in ``matches`` what its class aligns with among query classes: query (the least
     query key of that class), offset, votes, bit_error."""
-    made = written(prints(df.withColumn("_q", is_query), media, [key, "_q"]).withColumn("class", F.sha2("ints", 256)), "prints")
+    made = written(prints(df.withColumn("_q", is_query), media, [key, "_q"]).withColumn("class", F.xxhash64("ints")), "prints")
     some = F.length("ints") > 0
     per = made.where(some).groupBy("class").agg(F.first("ints").alias("ints"), F.max("_q").alias("q"), F.min(F.when(F.col("_q"), F.col(key))).alias("query_key"), F.min(key).alias("class_id"))
     per = written(per, "classes")
