@@ -157,7 +157,7 @@ def mix(df: DataFrame, keys: list[str], seed: int = 17, weights=WEIGHTS, cap: fl
 
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
     """The documents of the mix, each once, with size, source_size, target, copies and
-    taken; documents without a copy are left out.  Rows equal in all columns are told
+    taken, which replace columns of these names; documents without a copy are left out.  Rows equal in all columns are told
     apart by number only."""
     names = docs.columns
     k1, k2 = F.xxhash64(*names), F.xxhash64(F.lit("mix"), *names)
@@ -168,5 +168,5 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", s
     out = once.join(plan, ["_k1", "_k2"])
     out = out.withColumn("_hi", F.explode(F.expr("sequence(0L, (_n - 1) div 1024)")))
     out = out.withColumn("_nth", F.explode(F.expr("sequence(_hi * 1024, least(_n, (_hi + 1) * 1024) - 1)")))
-    extra = [c for c in ("size", "source_size", "target", "copies", "taken") if c not in names]
-    return out.select("_row.*", *extra)
+    own = ("size", "source_size", "target", "copies", "taken")
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in names if c not in own], *own)
