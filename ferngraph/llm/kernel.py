@@ -112,6 +112,18 @@ class Words:
         self.row = np.repeat(np.arange(rows), np.diff(self.first))
 
 
+def words(buf: np.ndarray, bounds: np.ndarray) -> Words:
+    """Words of many rows, without their places, in pieces of usual length."""
+    parts = [(i, Words(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])) for i, j in chunks(bounds)]
+    out = Words(buf[:0], np.zeros(1, np.int64))
+    if parts:
+        before = np.cumsum([0, *(len(w.hash) for _, w in parts)])
+        out.hash = np.concatenate([w.hash for _, w in parts])
+        out.row = np.concatenate([w.row + i for i, w in parts])
+        out.first = np.concatenate([*(w.first[:-1] + n for (_, w), n in zip(parts, before, strict=False)), before[-1:]])
+    return out
+
+
 def grams(hashes: np.ndarray, first: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and rows of all windows of ``k`` words; a row with 1..k-1 words gives
     one window, its whole sequence."""

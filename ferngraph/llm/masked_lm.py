@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ferngraph.llm import kernel, setjoin
 from ferngraph.session import extended, ship, written
 
 #: Bytes of text whose words are looked up together.
-BLOCK = 1 << 22
+BLOCK = 1 << 23
 #: A task counts so many words before it passes its counts on.
-FLUSH = 1 << 21
+FLUSH = 1 << 22
 #: Least bits of a cell, and about how many bytes of text one bucket of cells stands for.
 BITS, BUCKET = 40, 3 << 20
 #: Weight of the smoothing, in words.
@@ -168,16 +168,26 @@ def _summed(table: pa.Table) -> pa.Table:
 
 
 def _deal(batches):
-    """Numbers the blocks and the rows in them: _block and _at before the other columns."""
+    """One row for each block: its number, texts (in UTF-8, packed) and their sizes, and the
+    other columns of its rows."""
     task, k = TaskContext.get().partitionId() << 32, 0
     for b in batches:
-        _, bounds = kernel.buffers(b.column(0))
+        buf, bounds = kernel.buffers(b.column(0))
         for i, j in kernel.chunks(bounds, BLOCK):
             part = b.slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, task + k)), pa.array(np.arange(j - i)), *part.columns], ["_block", "_at", *b.schema.names])
+            rows = pa.StructArray.from_arrays(part.columns[1:], part.schema.names[1:])
+            columns = [
+                pa.array([task + k]), pa.array([zlib.compress(buf[bounds[i] : bounds[j]].tobytes(), 1)], pa.binary()), pa.array([_pack(np.diff(bounds[i : j + 1]))], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), rows),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["_block", "_texts", "_sizes", "_rows"])
             k += 1
 
 
+def _words(texts: bytes, sizes: bytes) -> kernel.Words:
+    return kernel.words(np.frombuffer(zlib.decompress(texts), np.uint8), np.concatenate(([0], np.cumsum(_unpack(sizes).astype(np.int64)))))
+
+
 def _asked(w: kernel.Words, layout: Layout) -> tuple:
     """Distinct cells of the words and of the pairs, each with the place of every one, and
     where the pairs' left words stand."""
@@ -186,24 +196,21 @@ def _asked(w: kernel.Words, layout: Layout) -> tuple:
 
 
 def _ask(layout: Layout):
-    """(block, at, word, bucket, cells) for runs of a block's rows that begin at ``at``."""
-    names, types = ["block", "at", "word", "bucket", "cells"], (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+    """(block, word, bucket, cells) of blocks (_block, _texts, _sizes)."""
+    names, types = ["block", "word", "bucket", "cells"], (pa.int64(), pa.bool_(), pa.int32(), pa.binary())
 
     def run(batches):
         for b in batches:
-            block, at = b.column(0).to_numpy(), b.column(1).to_numpy()
-            buf, bounds = kernel.buffers(b.column(2))
-            begin = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (at[1:] != at[:-1] + 1)))) if len(block) else []
-            for i, j in zip(begin, [*begin[1:], len(block)], strict=True):
-                words, _, pairs, _, _ = _asked(kernel.Words(buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]), layout)
-                rows = [(int(block[i]), int(at[i]), kind, k, _pack_cells(c[x:y])) for kind, c in ((True, words), (False, pairs)) for k, x, y in layout.cut(c)]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            for block, texts, sizes in zip(*(b.column(k) for k in range(3)), strict=True):
+                words, _, pairs, _, _ = _asked(_words(texts.as_py(), sizes.as_py()), layout)
+                rows = [(block.as_py(), kind, k, _pack_cells(c[x:y])) for kind, c in ((True, words), (False, pairs)) for k, x, y in layout.cut(c)]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     return run
 
 
-ANSWER = "block long, at long, word boolean, bucket int, n binary, first binary, last binary"
+ANSWER = "block long, word boolean, bucket int, n binary, first binary, last binary"
 
 
 def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -217,16 +224,16 @@ def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         hit = have[at] == cells if len(have) else np.zeros(len(cells), bool)
         for c, x in counts.items():
             out[c].append(_pack(np.where(hit, x[at], 0)) if x is not None else None)
-    return pa.table([asked[c] for c in ("block", "at", "word", "bucket")] + [pa.array(out[c], pa.binary()) for c in ("n", "first", "last")], names=[c.split()[0] for c in ANSWER.split(", ")])
+    return pa.table([asked[c] for c in ("block", "word", "bucket")] + [pa.array(out[c], pa.binary()) for c in ("n", "first", "last")], names=[c.split()[0] for c in ANSWER.split(", ")])
 
 
-def _answers(table: pa.Table, at: int, word: bool, sizes: int) -> list[np.ndarray]:
-    """n, first and last of all cells of one run, joined from its buckets."""
-    rows = sorted((r for r in table.to_pylist() if r["at"] == at and r["word"] == word), key=lambda r: r["bucket"])
+def _answers(table: pa.Table, word: bool, size: int) -> list[np.ndarray]:
+    """n, first and last of all cells of a block, joined from the buckets."""
+    rows = sorted((r for r in table.to_pylist() if r["word"] == word), key=lambda r: r["bucket"])
     out = []
     for c in ("n", "first", "last"):
         got = [_unpack(r[c]).astype(np.int64) for r in rows if r[c] is not None]
-        out.append(np.concatenate(got) if got else np.zeros(sizes, np.int64))
+        out.append(np.concatenate(got) if got else np.zeros(size, np.int64))
     return out
 
 
@@ -403,11 +410,12 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
 def _score(shared, keep: list[str], fitted: bool):
     own = int(fitted)
 
-    def scored(w: kernel.Words, found: pa.Table, at: int) -> tuple[np.ndarray, np.ndarray]:
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
         layout, classes, coarse, log_p = shared.value
+        w = _words(block["_texts"][0].as_py(), block["_sizes"][0].as_py())
         words, of, pairs, of_pair, left_at = _asked(w, layout)
-        n, first, last = (x[of] for x in _answers(found, at, True, len(words)))
-        met = _answers(found, at, False, len(pairs))[0][of_pair]
+        n, first, last = (x[of] for x in _answers(found, True, len(words)))
+        met = _answers(found, False, len(pairs))[0][of_pair]
         c = classes(words)[of]
         base = np.exp(log_p[_context(w, c, coarse), c] + classes.base(c, n))
         # of each word: how often it stands beside this neighbour, and how often the neighbour has one
@@ -417,22 +425,11 @@ def _score(shared, keep: list[str], fitted: bool):
         side = lambda a, b: (np.maximum(a - own, 0) + MU * base) / (np.maximum(b - own, 0) + MU)
         lp = np.log((side(with_left, left) + side(with_right, right)) / 2)
         size = np.diff(w.first)
-        return size, np.bincount(w.row, lp, minlength=len(size)).astype(np.float64)
-
-    def run(block: pa.Table, found: pa.Table) -> pa.Table:
-        block = block.sort_by("_at")
-        order = block.column("_at").to_numpy()
-        # rows were asked for in runs, which begin where an answer says
-        begin = sorted({0, *np.searchsorted(order, np.unique(found.column("at").to_numpy())).tolist()})
-        sizes, totals = [np.empty(0, np.int64)], [np.empty(0)]
-        for i, j in zip(begin, [*begin[1:], block.num_rows], strict=True):
-            part = block.column("_text").slice(i, j - i)
-            size, total = scored(kernel.Words(*kernel.buffers(part)), found, int(order[i]) if j > i else 0)
-            sizes.append(size)
-            totals.append(total)
-        size, total = np.concatenate(sizes), np.concatenate(totals)
+        total = np.bincount(w.row, lp, minlength=len(size)).astype(np.float64)
         mean = pa.array(total / np.maximum(size, 1), mask=size == 0)
-        return pa.table([*[block.column(k) for k in keep], pa.array(size), pa.array(total), mean], names=[*keep, "n_words", "log_likelihood", "mean_log_likelihood"])
+        rows = block["_rows"].combine_chunks().flatten()
+        columns = dict(zip([f.name for f in rows.type], rows.flatten(), strict=True))
+        return pa.table([*[columns[k] for k in keep], pa.array(size), pa.array(total), mean], names=[*keep, "n_words", "log_likelihood", "mean_log_likelihood"])
 
     return run
 
@@ -444,10 +441,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     own = ("n_words", "log_likelihood", "mean_log_likelihood")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
     ship(docs.sparkSession)
-    x = docs.select(F.col(text).alias("_text"), *keep)
-    schema = extended(x, 1, "n_words long, log_likelihood double, mean_log_likelihood double")
-    dealt = written(x.mapInArrow(_deal, StructType([StructField("_block", LongType()), StructField("_at", LongType()), *x.schema.fields])), "blocks")
-    asked = dealt.select("_block", "_at", "_text").mapInArrow(_ask(model.layout), "block long, at long, word boolean, bucket int, cells binary")
+    x = docs.select(F.col(text).alias("_text"), *keep, *([] if keep else [F.lit(True).alias("_row")]))
+    schema = extended(x.select("_text", *keep), 1, "n_words long, log_likelihood double, mean_log_likelihood double")
+    rows = ArrayType(StructType([StructField(f.name, f.dataType) for f in x.schema.fields[1:]]))
+    block = StructType([*StructType.fromDDL("_block long, _texts binary, _sizes binary").fields, StructField("_rows", rows)])
+    dealt = written(x.mapInArrow(_deal, block), "blocks")
+    asked = dealt.select("_block", "_texts", "_sizes").mapInArrow(_ask(model.layout), "block long, word boolean, bucket int, cells binary")
     answers = asked.groupBy("word", "bucket").cogroup(model.counts.groupBy("word", "bucket")).applyInArrow(_answer, ANSWER)
     shared = docs.sparkSession.sparkContext.broadcast((model.layout, model.cls, model.coarse, model.log_p))
     return dealt.groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(_score(shared, keep, fitted), schema)
