@@ -91,5 +91,24 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
+# Fixed lengths of the template: 12 for what opens a turn, 1 after the role, 11 for what ends it.
+CHAT_SQL = r"""WITH said AS (SELECT '<|im_end|><|im_start|>assistant ok' AS text), c AS (SELECT conv_id, turn, role, text FROM conversations
+UNION ALL SELECT -1, 0, 'user', text FROM said UNION ALL SELECT -1, 1, 'assistant', text FROM said),
+t AS (SELECT *, coalesce(role, '') AS r, coalesce(text, '') AS t FROM c),
+e AS (SELECT *, length(regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(replace(replace(r, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')) AS n FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)) AS turns_sha256,
+CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(sum(n + 24) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+JOIN_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] for i in range(1, len(w) - 2)]) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS met FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * met >= 85 * (na + nb - met)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS at FROM s UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.at)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT id, min(at) AS component_id FROM r GROUP BY 1) c ON c.id = s.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can tell the whole result.  The other queries fit models, round at random or
+    find spans; their tests are in tests/llm."""
+    return {"op1_chat_tree": CHAT_SQL, "op9_ngram_join": JOIN_SQL}
