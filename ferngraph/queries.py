@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ferngraph.adapters import relation, with_views
 from ferngraph.functions import paths as P
 from ferngraph.operators import change, neighbourhood, quality, ranking, signals, telemetry
+from ferngraph.plans import report
 from ferngraph.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -417,17 +418,8 @@ risk AS (SELECT path, status, indexed, direct, CAST(s AS BIGINT) AS risk_score,
 
 
 def _risk(r) -> DataFrame:
-    c, s = r("changed"), written(_signals(r), "signals")
-    near = neighbourhood.direct(c.select(F.col("path").alias("subject")), r("edges"))
-    nb = near.groupBy(F.col("subject").alias("path")).agg(
-        F.count(F.when(F.col("is_importer"), 1)).alias("importers"), F.count(F.when(F.col("is_importer") & F.col("is_import"), 1)).alias("mutual"), F.max(P.is_test(F.col("path")) & F.col("is_importer")).alias("has_dependency")
-    )
-    x = c.join(s.withColumnRenamed("file_path", "path"), "path").join(nb, "path", "left").join(change.changed_co_change(c, signals.co_change(_history(r))), "path", "left")
-    x = x.join(change.has_named_test(c, r("files")).withColumnRenamed("has_named_test", "has_direct"), "path", "left")
-    x = x.join(_cycle_counts(r).withColumnRenamed("subject", "path"), "path", "left")
-    x = x.fillna(0, ["importers", "mutual", "co_change", "cycles"]).fillna(False, ["has_dependency", "has_direct"])
-    x = x.crossJoin(F.broadcast(s.agg(F.max("indegree").alias("max_indegree"))))
-    return change.risk(x.withColumns({"fragility": ranking.fragility(F.col("indegree"), F.col("outdegree"))}))
+    signal = written(_signals(r), "signals")
+    return report.scored(r("changed"), r("files"), r("edges"), signal, signals.co_change(_history(r)), _cycle_counts(r))
 
 
 @query(f"WITH RECURSIVE {RISK} SELECT path, status, risk_score, risk_tier FROM risk")
@@ -435,6 +427,36 @@ def chg_risk(r, spark, d):
     return _risk(r).select("path", "status", "risk_score", "risk_tier")
 
 
+@query(
+    f"""WITH RECURSIVE {RISK}, w AS (SELECT y.*, risk_score, risk_tier, concat_ws(', ', CASE WHEN importers > 0 THEN importers || ' importers' END, CASE WHEN cycles > 0 THEN cycles || ' cycles' END,
+CASE WHEN mutual > 0 THEN mutual || ' mutual imports' END, CASE WHEN NOT y.direct THEN 'no test of its own' END) AS f FROM y JOIN risk USING (path))
+SELECT path, left({_base('path')} || ' is ' || status || ', risk ' || risk_score || ' (' || risk_tier || ')' || CASE WHEN f <> '' THEN '. ' || f ELSE '' END, 200) AS narrative FROM w"""
+)
+def chg_narrative(r, spark, d):
+    return report.told(_risk(r)).select("path", "narrative")
+
+
+@query(
+    f"""WITH RECURSIVE {RISK}, t AS (SELECT dst_file AS path, min(src_file) AS test FROM edges WHERE {_test('src_file')} GROUP BY 1)
+SELECT r.path, CASE WHEN t.test IS NOT NULL THEN 'run ' || t.test ELSE 'add a test for ' || {_base('r.path')} END AS suggestion FROM risk r LEFT JOIN t ON t.path = r.path
+WHERE risk_tier IN ('TEST', 'CRITICAL') AND NOT {_test('r.path')}"""
+)
+def chg_suggestions(r, spark, d):
+    return change.suggestions(_risk(r), report.test_imports(r("edges")))
+
+
+@query(f"WITH RECURSIVE {RISK} SELECT 'files' AS part, count(*) AS n FROM risk UNION ALL SELECT 'triage', count(DISTINCT risk_tier) FROM risk UNION ALL SELECT 'aggregate', 1 UNION ALL SELECT 'summary', 1 UNION ALL SELECT 'top', count(DISTINCT risk_tier) FROM risk")
+def chg_report(r, spark, d):
+    """The report as one plan; its relations have queries of their own, here they are counted."""
+    edges = written(r("edges"), "edges")
+    parts = report.report(r("changed"), r("files"), edges, written(_signals(r), "signals"), written(signals.co_change(_history(r)), "pairs"), _cycle_counts(r))
+    out = None
+    for name in ("files", "triage", "aggregate", "summary", "top"):
+        n = parts[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query(f"WITH RECURSIVE {RISK} SELECT risk_tier, count(*) AS n, string_agg(path, ',' ORDER BY path) AS files FROM risk GROUP BY 1")
 def agg_triage(r, spark, d):
     return change.triage(_risk(r))
