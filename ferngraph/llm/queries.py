@@ -104,8 +104,8 @@ s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to
 x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS met FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p WHERE 100 * met >= 85 * (na + nb - met)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r AS (SELECT doc_id AS id, doc_id AS at FROM s UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.at)
-SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT id, min(at) AS component_id FROM r GROUP BY 1) c ON c.id = s.doc_id"""
+r AS (SELECT doc_id AS id, doc_id AS node FROM s UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.node)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN (SELECT id, min(node) AS component_id FROM r GROUP BY 1) c ON c.id = s.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
