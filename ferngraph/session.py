@@ -33,10 +33,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, one machine) is a folder of our own used.
+    Only on one machine (tests), where that setting is absent, is a folder of our own used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "local")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "ferngraph-shared")
     return f"{base.rstrip('/')}/ferngraph-{uuid.uuid4().hex}"
 
