@@ -108,6 +108,25 @@ def test_line_dedup(spark, small):
     assert got == sorted(want, key=repr)
 
 
+def test_line_dedup_orders_any_ids(spark):
+    x, y = "a b c d e f g h i j", "a b c d e f g h i k"
+    rows = [("b", f"{x}\n{y}"), ("a", y), (None, x), ("c", "z"), ("c", "z\nq")]
+    df = spark.createDataFrame(rows, "k string, text string")
+    got = sorted(((r.k, r.text) for r in line_dedup.dedup(df, "k").collect()), key=repr)
+    assert dict(got)["a"] == y
+    kept = [t for k, t in got if k == "c"]
+    # of two rows of one id, one keeps the line they share
+    assert sorted("z" in t.split("\n") for t in kept) == [False, True]
+    assert dict(got)["b"] == "" and dict(got)[None] == ""
+    big = spark.createDataFrame([(1 << 62, x), (-(1 << 62), y)], "k long, text string")
+    assert {r.k: r.text for r in line_dedup.dedup(big, "k").collect()} == {1 << 62: "", -(1 << 62): y}
+
+
+def test_mix_replaces_columns_of_its_names(spark):
+    df = spark.createDataFrame([(i, "w " * 5, "s", 99) for i in range(4)], "doc_id long, text string, source string, copies long")
+    assert {r.copies for r in mixing.mix_documents(df).collect()} == {1}
+
+
 def test_mixing(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(["w"] * rng.choice([1, 3, 10, 40, 200])), "en", rng.choice(["a", "b", "c", None])) for i in range(900)]
