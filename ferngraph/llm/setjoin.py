@@ -399,7 +399,8 @@ class IdFilter:
 
 
 def id_filter(ids: DataFrame, column: str) -> IdFilter:
-    """Built on the executors as blocks of bytes; the driver joins at most FILTER_BITS / 8 bytes."""
+    """Built on the executors as blocks of bytes; the driver gets at most FILTER_BITS / 8 bytes,
+    in one job, as a job for each partition would take its time from all the others."""
     n = ids.count()
     size = 1 << 16
     while size < min(16 * n, FILTER_BITS):
@@ -417,7 +418,7 @@ def id_filter(ids: DataFrame, column: str) -> IdFilter:
 
     got = ids.select(column).mapInArrow(places, "block long, at int").distinct().groupBy("block").applyInArrow(pack, "block long, bits binary")
     bits = np.zeros(size >> 3, np.uint8)
-    for r in got.toLocalIterator():
+    for r in got.collect():
         bits[r["block"] << 13 : (r["block"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
     return IdFilter(bits, size)
 
