@@ -1,5 +1,7 @@
-from ferngraph.functions import names
+from ferngraph.functions import extract, names
 from ferngraph.functions import resolve as R
+from ferngraph.operators import signals
+from ferngraph.session import written
 from ferngraph.sources import manifests as M
 
 
@@ -70,3 +72,13 @@ def test_names():
     assert names.share_class_prefix("a/UserService.java", "a/UserServiceImpl.java") and not names.share_class_prefix("UserA.java", "UserB.java")
     assert names.topological([("a", 1, 0), ("b", 5, 0), ("c", 3, 1)], [("b", "a"), ("a", "c")]) == ["c", "a", "b"]
     assert names.topological([("a", 1, 2), ("b", 5, 1)], [("b", "a"), ("a", "b")]) == ["b", "a"]
+
+
+def test_no_table_is_broadcast(spark):
+    """Small files may hold many rows, so no join of the index sends a table to the driver."""
+    files = written(spark.createDataFrame([("a/x.py",), ("a/y.py",)], "path string"))
+    facts = written(spark.createDataFrame([("a/x.py", ".y", "relative", 1, ["z"])], extract.FACTS))
+    edges, lost = R.resolve(facts, files, R.Config())
+    assert [tuple(r) for r in edges.select("src_file", "dst_file").collect()] == [("a/x.py", "a/y.py")]
+    for df in (edges, lost, signals.degree_signals(files, edges)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
