@@ -1,6 +1,7 @@
 from ferngraph.functions import extract, names
 from ferngraph.functions import resolve as R
 from ferngraph.operators import signals
+from ferngraph.plans import index
 from ferngraph.session import written
 from ferngraph.sources import manifests as M
 
@@ -82,3 +83,13 @@ def test_no_table_is_broadcast(spark):
     assert [tuple(r) for r in edges.select("src_file", "dst_file").collect()] == [("a/x.py", "a/y.py")]
     for df in (edges, lost, signals.degree_signals(files, edges)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_table_is_broadcast_in_a_refresh(spark, monkeypatch):
+    files = written(spark.createDataFrame([("a/x.py", "1", "from .y import z"), ("a/y.py", "2", "z = 1")], "path string, content_hash string, text string"))
+    old = index.build(files.where("path = 'a/x.py'"), files.where("path = 'a/x.py'"), R.Config())
+    plans = []
+    monkeypatch.setattr(index, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    e = index.refresh(old, files, files, R.Config()).edges
+    assert [tuple(r) for r in e.select("src_file", "dst_file").collect()] == [("a/x.py", "a/y.py")]
+    assert len(plans) == 6 and not any("Broadcast" in p for p in plans)
