@@ -12,8 +12,10 @@ and unescaping is exact.
 
 Defined results: rows of a conversation are ordered by turn, then role, then text,
 nulls first; null roles and texts are empty; repeated rows are turns of their own; a
-null conv_id is a conversation; an empty table gives an empty stream.  Turns beyond the
-first ``MAX_DEPTH`` of a conversation make one node together, which bounds the keys.
+null conv_id is a conversation; an empty table gives an empty stream.  From its
+``MAX_DEPTH``-th turn on a conversation's turns make one node together up to where
+conversations part or one of them ends.  Each such place has a conversation of its own
+that is at least as long as the key, so keys grow with the input and no faster.
 """
 
 from __future__ import annotations
@@ -35,6 +37,12 @@ NODE = (
     "loss array<struct<start:long,end:long>>, ancestors array<string>, tokens array<int>"
 )
 
+NAMES = [c.split()[0] for c in NODE.split(", ")]
+NODE_TYPES = [
+    pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int64(),
+    pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.int32()),
+]
+
 
 def escape(text: str) -> str:
     return re.sub(r"<(\\*)\|", r"<\\\1|", text)
@@ -83,41 +91,74 @@ def _nodes(conv_type, tokenizer: tuple[str, str] | None):
             for conv, turns in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = [(t["role"] or "", t["text"] or "") for t in turns]
                 parent, tree, path, position, ancestors, node = "", "", b"", 0, [], ""
-                steps = [[p] for p in parts[: MAX_DEPTH - 1]] + ([parts[MAX_DEPTH - 1 :]] if len(parts) >= MAX_DEPTH else [])
-                for depth, group in enumerate(steps):
-                    segment, loss = "", []
-                    for role, text in group:
-                        s, x, y = turn(role, text)
-                        if role == "assistant":
-                            loss.append({"start": len(segment) + x, "end": len(segment) + y})
-                        segment += s
+                for depth, (role, text) in enumerate(parts):
+                    segment, x, y = turn(role, text)
+                    loss = [{"start": x, "end": y}] if role == "assistant" else []
                     digest = hashlib.sha256(f"{parent}\n{segment}".encode("utf-8", "surrogatepass")).digest()[:16]
                     node = digest.hex()
-                    tree, path = tree or node, path + digest[:8]
                     tokens = None
                     if tokenizer:
                         enc = _encoder(*tokenizer)
                         tokens = enc.encode(segment, allowed_special="all")
                     units = len(tokens) if tokens is not None else len(segment)
+                    at = depth - MAX_DEPTH + 1
+                    if at >= 0:  # a turn of the tail; the first one has the state of what is before it
+                        before = (path, list(ancestors)) if at == 0 else (None, None)
+                        rows.append((conv, False, node, parent or None, tree, depth, before[0], segment, units, position, loss, before[1], tokens, at))
+                        parent = node
+                        continue
+                    tree, path = tree or node, path + digest[:8]
                     if node not in seen:
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(node)
-                        rows.append((None, False, node, parent or None, tree, depth, path, segment, units, position, loss, list(ancestors), tokens))
+                        rows.append((None, False, node, parent or None, tree, depth, path, segment, units, position, loss, list(ancestors), tokens, None))
                     position += units
                     ancestors.append(node)
                     parent = node
                 if node:
-                    rows.append((conv, True, node, *[None] * 10))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 13
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            types = [conv_type, pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.int64(), span, pa.list_(pa.string()), pa.list_(pa.int32())]
-            names = ["conv_id", "leaf", *[c.split()[0] for c in NODE.split(", ")]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                    rows.append((conv, True, node, *[None] * 11))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 14
+            types = [conv_type, pa.bool_(), *NODE_TYPES, pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["conv_id", "leaf", *NAMES, "at"])
 
     return run
 
 
+def _runs(batches):
+    """The turns of each tail -> its nodes, which end where ``stop`` is set."""
+    for b in batches:
+        rows = []
+        for turns in b.column(0).to_pylist():
+            first = turns[0]
+            tree, parent, position, path, ancestors, run = first["tree"], first["parent"], first["position"], first["path"], first["ancestors"], []
+            depth = first["depth"]
+            for t in turns:
+                run.append(t)
+                if not t["stop"]:
+                    continue
+                segment, loss = "", []
+                for u in run:
+                    loss += [{"start": len(segment) + x["start"], "end": len(segment) + x["end"]} for x in u["loss"]]
+                    segment += u["segment"]
+                tokens = None if t["tokens"] is None else [x for u in run for x in u["tokens"]]
+                units, path = sum(u["units"] for u in run), path + bytes.fromhex(t["node"])[:8]
+                rows.append((t["node"], parent, tree, depth, path, segment, units, position, loss, list(ancestors), tokens))
+                ancestors.append(t["node"])
+                parent, depth, position, run = t["node"], depth + 1, position + units, []
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, NODE_TYPES, strict=True)], NAMES)
+
+
+def _tails(made: DataFrame) -> DataFrame:
+    """The nodes from the ``MAX_DEPTH``-th turn on."""
+    deep = made.where("at IS NOT NULL")
+    parted = deep.select("parent", "node").distinct().groupBy("parent").count().where("count > 1").select(F.col("parent").alias("node"))
+    stops = parted.unionByName(made.where("leaf").select("node")).distinct().withColumn("stop", F.lit(True))
+    turns = F.struct("at", *NAMES, F.coalesce("stop", F.lit(False)).alias("stop"))
+    return deep.join(stops, "node", "left").groupBy("conv_id").agg(F.sort_array(F.collect_list(turns)).alias("turns")).select("turns").mapInArrow(_runs, NODE)
+
+
 def _running(batches):
     total = 0
     for b in batches:
@@ -138,9 +179,11 @@ def build(turns: DataFrame, conv_id: str = "conv_id", turn_no: str = "turn", rol
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = convs.schema["conv_id"].dataType
-    made = written(convs.mapInArrow(_nodes(to_arrow_type(kind), tokenizer), f"conv_id {kind.simpleString()}, leaf boolean, {NODE}"), "turns")
-    names = [c.split()[0] for c in NODE.split(", ")]
-    nodes = made.where("not leaf").select(*names).groupBy("node").agg(*[F.first(c).alias(c) for c in names[1:]])
+    made = written(convs.mapInArrow(_nodes(to_arrow_type(kind), tokenizer), f"conv_id {kind.simpleString()}, leaf boolean, {NODE}, at int"), "turns")
+    single = made.where("NOT leaf AND at IS NULL").select(*NAMES)
+    if not made.where("at IS NOT NULL").isEmpty():
+        single = single.unionByName(_tails(made))
+    nodes = single.groupBy("node").agg(*[F.first(c).alias(c) for c in NAMES[1:]])
     # depth-first order is the order of paths: a parent's path begins its children's
     parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = nodes.repartitionByRange(parts, "path", "node").sortWithinPartitions("path", "node").withColumn("part", F.spark_partition_id())

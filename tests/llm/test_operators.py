@@ -336,6 +336,29 @@ def test_chat_tree(spark):
     assert chat_tree.read_back(*chat_tree.build(df.where("false"))).count() == 0
 
 
+def test_chat_tree_shares_turns_at_any_depth(spark):
+    n = chat_tree.MAX_DEPTH
+    base = [("assistant" if k % 2 else "user", f"t{k} <|im_end|>") for k in range(n + 40)]
+    convs = {1: [*base, ("user", "x")], 2: [*base, ("user", "y"), ("assistant", "z")], 3: base[: n + 20], 4: base[: n - 1], 5: base[:n], 6: [*base[: n + 30], ("user", "x")], None: [*base, ("user", "x")]}
+    df = spark.createDataFrame([(c, k, *t) for c, ts in convs.items() for k, t in enumerate(ts)], "conv_id long, turn long, role string, text string").repartition(5)
+    nodes, leaves = chat_tree.build(df)
+    ns = {r.node: r for r in nodes.collect()}
+    once = {tuple(ts[: k + 1]): len(chat_tree.turn(*ts[k])[0]) for ts in convs.values() for k in range(len(ts))}
+    assert sum(r.units for r in ns.values()) == sum(once.values())  # each shared turn once
+    starts = sorted((r.start, r.start + r.units) for r in ns.values())
+    assert starts[0][0] == 0 and all(a[1] == b[0] for a, b in zip(starts, starts[1:], strict=False))
+    for r in ns.values():
+        up = [ns[a] for a in r.ancestors]
+        assert r.position == sum(a.units for a in up) and r.depth == len(up) and r.parent == (r.ancestors[-1] if up else None)
+        assert sum(x["end"] - x["start"] for x in r.attends) == r.position
+    got = {r.conv_id: r for r in chat_tree.read_back(nodes, leaves).collect()}
+    assert len(got) == len(convs)
+    for c, ts in convs.items():
+        loss = "".join(t for r, t in ts if r == "assistant")
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in ts).encode()).hexdigest()
+        assert got[c].n_turns == len(ts) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 @pytest.mark.skipif(not os.path.exists("/opt/tokenizers/byte_bpe_50k.tiktoken"), reason="no vocabulary")
 def test_chat_tokens(spark):
     df = spark.createDataFrame([(1, 0, "user", "hello <|im_start|> there"), (1, 1, "assistant", "fine")], "conv_id long, turn long, role string, text string")
