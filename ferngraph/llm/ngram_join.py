@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferngraph.llm import kernel, setjoin
@@ -86,31 +86,21 @@ def _postings(k: int, num: int, den: int, rarity):
     return lambda batches: setjoin.packed(parts(batches), rarity.value)
 
 
-def _sets(k: int, wanted, texts):
+def _sets(k: int, wanted, texts, rows):
+    """What ``rows`` makes of wanted sets."""
+
     def run(batches):
         for v, r, ids, at in _distinct_sets(batches, k, wanted.value, texts.value):
-            yield setjoin.set_rows(v, r, ids, at)
+            yield rows(v, r, ids, at)
 
     return run
 
 
-WIDE = ", ".join(["set long", *(f"w{x} long" for x in range(setjoin.WIDE)), "prefix array<bigint>"])
+WIDE = ", ".join(["set long", *(f"w{x} long" for x in range(setjoin.WIDE))])
 
 
-def _wide(k: int, num: int, den: int, wanted, texts, rarity):
-    """Wide bitmaps of sets, and their prefixes in order."""
-
-    def run(batches):
-        for v, r, ids, at in _distinct_sets(batches, k, wanted.value, texts.value):
-            size = np.bincount(r, minlength=len(ids))[at]
-            in_order = v[setjoin.rare_first(v, r, rarity.value.rank)].view(np.int64)
-            end = np.cumsum(size)
-            ends = np.append(0, np.cumsum(setjoin.prefix_sizes(size, num, den)))
-            places = np.concatenate([np.empty(0, np.int64), *[np.arange(e - n, e - n + m) for e, n, m in zip(end, size, np.diff(ends), strict=True)]])
-            prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(in_order[places]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), *[pa.array(w[at]) for w in setjoin.wide_bits(v, r, len(ids))], prefix], [c.split()[0] for c in WIDE.split(", ")])
-
-    return run
+def _wide_rows(v, r, ids, at) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids[at]), *[pa.array(w[at]) for w in setjoin.wide_bits(v, r, len(ids))]], [c.split()[0] for c in WIDE.split(", ")])
 
 
 def classes(docs: DataFrame, text: str, keep: list[str], k: int) -> DataFrame:
@@ -128,12 +118,17 @@ def links(docs: DataFrame, text: str, found: DataFrame, k: int, num: int, den: i
     shown = docs.select(text, F.xxhash64(text).alias("_hash"))
     holders = found.where("n > 0").select("set", "_hash")
 
-    def fetch(p: DataFrame) -> DataFrame:
-        return setjoin.once(shown.mapInArrow(_sets(k, *setjoin.wanted(p, holders, "_hash")), setjoin.SETS))
+    def fetch(p: DataFrame, rows, ddl: str) -> DataFrame:
+        return setjoin.once(shown.mapInArrow(_sets(k, *setjoin.wanted(p, holders, "_hash"), rows), ddl))
+
+    def verified(p: DataFrame) -> DataFrame:
+        # elements move only for what the bitmaps leave; texts are read once more for that
+        near = setjoin.likely(p, fetch(p, setjoin.map_rows, setjoin.MAPS), num, den)
+        return setjoin.compared(near, fetch(near, setjoin.element_rows, setjoin.ELEMENTS), num, den)
 
     pairs, kept = setjoin.candidates(shown.mapInArrow(_postings(k, num, den, rarity), setjoin.PACKED), num, den, NEAREST, by_size=True)
     pairs = written(pairs, "candidates")
-    edges = written(setjoin.verified(pairs, fetch(pairs), num, den), "links")
+    edges = written(verified(pairs), "links")
     # What is open: classes of one run in different components.
     root = setjoin.components(edges)
     posts = kept.drop("open").dropDuplicates(["key", "set"]).join(root, F.col("set") == F.col("node"), "left").select("*", F.coalesce("root", "set").alias("comp")).drop("node", "root")
@@ -143,13 +138,12 @@ def links(docs: DataFrame, text: str, found: DataFrame, k: int, num: int, den: i
     mixed = written(posts.join(main, "key"), "mixed")
     if mixed.isEmpty():
         return edges
-    # these few sets get wider bitmaps, so that hardly any pair meets in vain, and what comes
-    # before each posting, so that a pair meets once
+    # these few sets get wider bitmaps, so that hardly any pair meets in vain, and each posting
+    # its set's earlier ones here, so that a pair meets once
     sets = mixed.select(F.col("set").alias("a"), F.col("set").alias("b")).distinct()
-    wide = shown.mapInArrow(_wide(k, num, den, *setjoin.wanted(sets, holders, "_hash"), rarity), WIDE)
-    wide = wide.groupBy("set").agg(*[F.first(c.split()[0]).alias(c.split()[0]) for c in WIDE.split(", ")[1:]])
-    mixed = mixed.join(wide, "set").withColumn("before", F.expr("slice(prefix, 1, pos)")).drop("prefix")
-    mixed = written(mixed, "mixed")
+    wide = fetch(sets, _wide_rows, WIDE)
+    before = F.collect_list("key").over(Window.partitionBy("set").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    mixed = written(mixed.withColumn("before", before).join(wide, "set"), "mixed")
     one, every = setjoin.side(mixed.where("comp <> main"), "x"), setjoin.side(mixed, "y")
     # two sets outside the main component of their run meet once
     more = one.join(every, "key").where("x_comp <> y_comp AND (y_comp = y_main OR x_set < y_set)").where(setjoin.pass_filters("x", "y", num, den)).where(setjoin.pass_wide("x", "y", num, den)).where("NOT arrays_overlap(x_before, y_before)")
@@ -157,7 +151,8 @@ def links(docs: DataFrame, text: str, found: DataFrame, k: int, num: int, den: i
     more = written(more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
     if more.isEmpty():
         return edges
-    return edges.unionByName(setjoin.verified(more, fetch(more), num, den))
+    # these have met by wide bitmaps, so texts are read once for them
+    return edges.unionByName(setjoin.verified(more, fetch(more, setjoin.set_rows, setjoin.SETS), num, den))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100, keep: list[str] | None = None) -> DataFrame:

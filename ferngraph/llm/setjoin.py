@@ -453,6 +453,58 @@ def set_rows(values: np.ndarray, rows: np.ndarray, ids: np.ndarray, at: np.ndarr
     return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(size[at].astype(np.int32)), *wide, elements], [c.split()[0] for c in SETS.split(", ")])
 
 
+MAPS = "set long, n int, map binary"
+ELEMENTS = "set long, elements binary"
+
+
+def map_rows(values: np.ndarray, rows: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Parity bitmaps of the sets of rows ``at`` (others have no values here), as MAPS: 64 bits or
+    more, at least one for each element, so that they tell large sets apart too."""
+    size = np.bincount(rows, minlength=len(ids))
+    bits = np.where(size > 0, 1 << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)), 0)
+    ends = np.append(0, np.cumsum(bits))
+    places = ends[rows] + (kernel.mix(values) & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
+    data = np.packbits((np.bincount(places, minlength=ends[-1]) & 1).astype(np.uint8), bitorder="little")
+    offsets = np.append(ends[at], ends[-1]) >> 3
+    maps = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(size[at].astype(np.int32)), maps], ["set", "n", "map"])
+
+
+def element_rows(values: np.ndarray, rows: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The sets of rows ``at`` (by id), as ELEMENTS."""
+    end = np.cumsum(np.bincount(rows, minlength=len(ids)))
+    begin = np.append(0, end[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([values[begin[x] : end[x]].tobytes() for x in at], pa.binary())], ["set", "elements"])
+
+
+def apart(u: np.ndarray, v: np.ndarray) -> int:
+    """At least so many elements are in one only of the sets of two bitmaps; a larger one is folded."""
+    while len(u) > len(v):
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
+def _near(num: int, den: int):
+    def run(batches):
+        for b in batches:
+            x, y = b.column("x"), b.column("y")
+            both = b.column("both").to_numpy(zero_copy_only=False)
+            room = both - 2 * -(-num * both // (num + den))
+            ok = np.array([apart(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) <= room[i] for i in range(b.num_rows)], bool)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
+
+    return run
+
+
+def likely(pairs: DataFrame, maps: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps (as MAPS, each set once) leave it open that they are similar enough."""
+    x, y = (maps.select(F.col("set").alias(s), F.col("n").alias(f"{s}_n"), F.col("map").alias(m)) for s, m in (("a", "x"), ("b", "y")))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("a_n").cast("long") + F.col("b_n")).alias("both"), "x", "y")
+    return written(both.mapInArrow(_near(num, den), "a long, b long"), "likely")
+
+
 def wanted(pairs: DataFrame, instances: DataFrame | None, row: str):
     """Broadcast filters of the sets of ``pairs`` (a, b), and of the rows that have them, where
     ``instances`` (set, ``row``) are given (else None)."""
@@ -476,10 +528,14 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     small = sets.drop("elements")
     x, y = (small.select(*[F.col(c).alias(f"{s}_{c}") for c in small.columns]) for s in ("x", "y"))
     left = pairs.join(x, F.col("a") == F.col("x_set")).join(y, F.col("b") == F.col("y_set")).where(pass_wide("x", "y", num, den)).select("a", "b")
-    left = written(left, "likely")
+    return compared(written(left, "likely"), sets, num, den)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose elements (as ELEMENTS, each set once) are similar enough."""
     x = sets.select(F.col("set").alias("a"), F.col("elements").alias("x"))
     y = sets.select(F.col("set").alias("b"), F.col("elements").alias("y"))
-    return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
 
 
 # --- components -------------------------------------------------------------------

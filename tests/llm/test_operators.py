@@ -63,6 +63,42 @@ def test_ngram_join_empty(spark):
     assert ngram_join.first_of_each(docs(spark, [(1, None, None, None), (2, "", None, None)])).count() == 2
 
 
+def test_elements_of_large_sets_move_only_for_likely_pairs(spark, monkeypatch):
+    from ferngraph.llm import setjoin
+
+    # each text shares half its words with either neighbour in a ring; the last is nearly the first
+    words = [[f"p{part}w{i}" for i in range(1000)] for part in range(6)]
+    rows = [(i, " ".join(words[i] + words[(i + 1) % 6]), "en", "s") for i in range(6)]
+    rows.append((6, rows[0][1].replace("p0w500 ", ""), "en", "s"))
+    moved, once = [], setjoin.once
+
+    def seen(sets):
+        out = once(sets)
+        moved.extend(r.set for r in out.select("set").collect() if "elements" in out.columns)
+        return out
+
+    monkeypatch.setattr(setjoin, "once", seen)
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs(spark, rows)).collect()}
+    assert got == {i: i % 6 for i in range(7)}
+    assert len(moved) == 2
+
+
+def test_bitmaps_never_tell_too_much():
+    from ferngraph.llm import setjoin
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 63, 64, 65, 900, 1023, 1025):
+        a = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        for m in (0, n // 10, n // 2, n):
+            b = np.unique(np.concatenate((a[m:], rng.integers(0, 1 << 48, m + n // 9, dtype=np.uint64))))
+            if len(b):
+                # rows 0 and 2 aren't asked for
+                got = setjoin.map_rows(np.concatenate((a, b)), np.repeat([1, 3], [len(a), len(b)]), np.arange(4), np.array([1, 3]))
+                assert got["set"].to_pylist() == [1, 3] and got["n"].to_pylist() == [len(a), len(b)]
+                u, v = (np.frombuffer(x.as_buffer(), np.uint64) for x in got["map"])
+                assert setjoin.apart(u, v) <= len(np.setxor1d(a, b)) and setjoin.apart(u, u) == 0
+
+
 @pytest.mark.parametrize("hot", [1 << 15, 10, 0])
 def test_long_runs_are_settled(spark, monkeypatch, hot):
     from ferngraph.llm import setjoin
