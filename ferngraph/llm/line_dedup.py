@@ -7,7 +7,8 @@ last), then a hash of the whole row, then line number.
 
 Equal token sets meet by their id; different ones by prefix filtering (``setjoin``), each
 line with its nearest passing predecessors first; lines that these leave open are joined
-with all of their runs.
+with all of their runs.  A set is then known by its place, the first line that has it, so
+that only these lines' words are looked up again.
 
 Lines are numbered by integer ids where these are unique and fit in 64 bits with the line
 numbers; else documents are sorted and numbered first.
@@ -25,16 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferngraph.llm import kernel, setjoin
-from ferngraph.session import extended, ship, written
+from ferngraph.session import extended, ship, sorted_join, written
 
 NEAREST = 3
+#: So many bytes are looked at together, a few times over.
+RUN = 1 << 18
 INTEGERS = ("byte", "short", "integer", "long")
 
 
-def _line_sets(column: pa.Array):
-    """For runs of lines: (values, line of each value, n lines, document of each line, number of each line)."""
+def _lines(column: pa.Array):
+    """For runs of documents: (bytes, where each line begins and the last ends, document of each line, number of each line)."""
     buf, bounds = kernel.buffers(column)
-    for i, j in kernel.chunks(bounds):
+    for i, j in kernel.chunks(bounds, RUN):
         part, own = buf[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         breaks = np.flatnonzero(part == 10)
         doc_of_break = np.searchsorted(own, breaks, "right") - 1
@@ -43,30 +46,45 @@ def _line_sets(column: pa.Array):
         order = np.lexsort((start, doc))
         start, doc = start[order], doc[order]
         number = np.arange(len(doc)) - np.searchsorted(doc, np.arange(j - i))[doc]
-        w = kernel.Words(part, np.append(start, own[-1]))
-        for a in range(0, len(doc), 65536):
-            b = min(a + 65536, len(doc))
-            x, y = w.first[a], w.first[b]
-            v, r = kernel.distinct(w.hash[x:y], w.row[x:y] - a)
-            yield v, r, b - a, doc[a:b] + i, number[a:b]
+        yield part, np.append(start, own[-1]), doc + i, number
+
+
+def _word_sets(part: np.ndarray, bounds: np.ndarray):
+    """For runs of at most 65536 lines: (first, last, values, line of each value counted from first)."""
+    w = kernel.Words(part, bounds, loaded=True)
+    for a in range(0, len(bounds) - 1, 65536):
+        b = min(a + 65536, len(bounds) - 1)
+        x, y = w.first[a], w.first[b]
+        yield a, b, *kernel.distinct(w.hash[x:y], w.row[x:y] - a)
+
+
+def _line_sets(column: pa.Array):
+    """For runs of lines: (values, line of each value, n lines, document of each line, number of each line)."""
+    for part, bounds, doc, number in _lines(column):
+        for a, b, v, r in _word_sets(part, bounds):
+            yield v, r, b - a, doc[a:b], number[a:b]
 
 
 def _instances(batches):
-    """(text, number, row) -> (row, number, line, set) of each line with words, then a sketch."""
+    """(text, number) -> (number, line, set) of each line with words, then a sketch."""
     sketch = setjoin.Sketch()
-    names = ["row", "number", "line", "set", "block", "counts"]
+    names = ["number", "line", "set", "block", "counts"]
     for b in batches:
-        ids, rows = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+        ids = b.column(1).to_numpy(zero_copy_only=False)
+        got: list = []
         for v, r, n, doc, number in _line_sets(b.column(0)):
             sketch.add(v)
             size, sets = kernel.set_ids(v, r, n)
             at = np.flatnonzero(size)
-            m = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[doc[at]]), pa.array(ids[doc[at]]), pa.array(number[at]), pa.array(sets[at]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            got.append((ids[doc[at]], number[at], sets[at]))
+        if got:
+            columns = [np.concatenate(x) for x in zip(*got, strict=True)]
+            m = len(columns[0])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
     block, data = sketch.rows()
     if block:
         none = pa.nulls(len(block), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(block, pa.int32()), pa.array(data, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(block, pa.int32()), pa.array(data, pa.binary())], names)
 
 
 def _postings(num: int, den: int, shift: int, rarity):
@@ -83,16 +101,22 @@ def _postings(num: int, den: int, shift: int, rarity):
     return lambda batches: setjoin.packed(parts(batches), rarity.value)
 
 
-def _sets(wanted, rows):
+def _sets(shift: int, wanted):
+    """(text, number) -> sets, by place, of the lines that are wanted; words of others aren't looked at."""
+
     def run(batches):
         for b in batches:
-            some = b if rows is None else b.filter(pa.array(rows.value.has(b.column(1).to_numpy(zero_copy_only=False))))
-            for v, r, n, _, _ in _line_sets(some.column(0)):
-                size, sets = kernel.set_ids(v, r, n)
-                at = np.flatnonzero(wanted.value.has(sets) & (size > 0))
-                at = np.sort(at[np.unique(sets[at], return_index=True)[1]])
-                keep = np.isin(r, at)
-                yield setjoin.set_rows(v[keep], r[keep], sets, at)
+            ids = b.column(1).to_numpy(zero_copy_only=False)
+            for part, bounds, doc, number in _lines(b.column(0)):
+                order = ids[doc] << shift | number
+                at = np.flatnonzero(wanted.value.has(order))
+                if not len(at):
+                    continue
+                size = bounds[at + 1] - bounds[at]
+                own = np.append(0, np.cumsum(size))
+                some = part[np.arange(own[-1]) + np.repeat(bounds[at] - own[:-1], size)]
+                for x, y, v, r in _word_sets(some, own):
+                    yield setjoin.set_rows(v, r, order[at[x:y]], np.flatnonzero(np.bincount(r, minlength=y - x)))
 
     return run
 
@@ -113,15 +137,21 @@ def _strip(batches):
         yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*b.schema.names[2:], "_text", "_lines", "_removed"])
 
 
-def _numbers(docs: DataFrame, doc_id: str) -> Column | None:
-    """A number from 0 on by id, if ids are integers that no two different rows share."""
+def _numbers(docs: DataFrame, doc_id: str) -> tuple[Column | None, bool]:
+    """A number from 0 on by id, if ids are integers that no two different rows share, and whether
+    no two rows at all do."""
     if docs.schema[doc_id].dataType.typeName() not in INTEGERS:
-        return None
-    per = docs.select(F.col(doc_id).cast("long").alias("i"), F.xxhash64(*docs.columns).alias("r")).groupBy("i").agg(F.min("r").alias("x"), F.max("r").alias("y"))
-    low, high, shared = per.agg(F.min("i"), F.max("i"), F.max(F.col("x") != F.col("y"))).first()
-    if shared or (low is not None and high - low >= 1 << 60):
-        return None
-    return F.coalesce(F.col(doc_id).cast("long") - F.lit(low), F.lit((high or 0) - (low or 0) + 1))
+        return None, False
+    ids = docs.select(F.col(doc_id).cast("long").alias("i"))
+    low, high, most = ids.groupBy("i").agg(F.count("*").alias("n")).agg(F.min("i"), F.max("i"), F.max("n")).first()
+    if low is not None and high - low >= 1 << 60:
+        return None, False
+    single = (most or 0) <= 1
+    if not single:  # whole rows are read only then
+        rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.xxhash64(*docs.columns).alias("r"))
+        if not rows.groupBy("i").agg(F.min("r").alias("x"), F.max("r").alias("y")).where("x <> y").isEmpty():
+            return None, False
+    return F.coalesce(F.col(doc_id).cast("long") - F.lit(low), F.lit((high or 0) - (low or 0) + 1)), single
 
 
 def _ranked(docs: DataFrame, doc_id: str) -> DataFrame:
@@ -146,16 +176,16 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int
     replace columns of these names."""
     spark = docs.sparkSession
     ship(spark)
-    row = F.xxhash64(*docs.columns)
-    number = _numbers(docs, doc_id)
+    number, single = _numbers(docs, doc_id)
+    rest = F.struct(*[c for c in docs.columns if c not in (text, "_lines", "_removed")]).alias("_doc")
     for plain in (True, False):
         if plain and number is None:
             continue
         if plain:
-            shown = docs.select(F.col(text).alias("t"), number.alias("i"), row.alias("r"))
+            shown = docs.select(F.col(text).alias("t"), number.alias("i"), rest)
         else:
-            shown = written(docs.select(F.col(text).alias("t"), row.alias("r")).join(_ranked(docs, doc_id), "r").select("t", "i", "r"), "numbered")
-        made = written(shown.mapInArrow(_instances, "row long, number long, line long, set long, block int, counts binary"), "lines")
+            shown = written(docs.select(F.col(text).alias("t"), F.xxhash64(*docs.columns).alias("r"), rest).join(_ranked(docs, doc_id), "r").select("t", "i", "_doc"), "numbered")
+        made = written(shown.select("t", "i").mapInArrow(_instances, "number long, line long, set long, block int, counts binary"), "lines")
         last, most = made.agg(F.max("number"), F.max("line")).first()
         shift = int(most or 0).bit_length()
         if int(last or 0) >> (62 - shift) == 0:
@@ -163,27 +193,27 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", num: int
     else:
         raise ValueError("more lines than 64-bit numbers")
     order = F.shiftleft("number", shift).bitwiseOR(F.col("line"))
-    lines = made.where("set is not null").select("row", "line", "set", order.alias("ord"))
-    first = written(lines.groupBy("set").agg(F.min(F.struct("ord", "row")).alias("x"), F.count("*").alias("n")).select("set", F.col("x.ord").alias("first"), "x.row", "n"), "first")
+    lines = made.where("set is not null").select("number", "line", "set", order.alias("ord"))
+    first = written(lines.groupBy("set").agg(F.min("ord").alias("first"), F.count("*").alias("n")), "first")
     rarity = spark.sparkContext.broadcast(setjoin.rarity(made.where("block is not null").select("block", "counts"), num, den))
     postings = shown.select("t", "i").mapInArrow(_postings(num, den, shift, rarity), setjoin.PACKED)
     pairs, kept = setjoin.candidates(postings, num, den, NEAREST)
     pairs = written(pairs, "candidates")
 
-    def fetch(p, rows=None):
-        return setjoin.once(shown.select("t", "r").mapInArrow(_sets(*setjoin.wanted(p, rows, "row")), setjoin.SETS))
+    def fetch(p):
+        sets = shown.select("t", "i").mapInArrow(_sets(shift, setjoin.wanted(p, None, "")[0]), setjoin.SETS)
+        return written(sets, "sets") if plain and single else setjoin.once(sets)  # only copies of rows repeat places
 
-    gone = written(setjoin.verified(pairs, fetch(pairs), num, den).select(F.col("b").alias("set")).distinct(), "gone")
-    still = kept.where("open").join(gone, "set", "left_anti")
-    early, late = setjoin.side(kept.drop("open"), "x"), setjoin.side(still.drop("open"), "y")
-    more = early.join(late, "key").where("x_ord < y_ord OR x_ord = y_ord AND x_set < y_set").where("x_set <> y_set").where(setjoin.pass_filters("x", "y", num, den))
-    more = written(more.select(F.col("x_set").alias("a"), F.col("y_set").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "more")
+    gone = written(setjoin.verified(sorted_join(pairs), fetch(pairs), num, den).select(F.col("b").alias("ord")).distinct(), "gone")
+    still = kept.where("open").join(sorted_join(gone), "ord", "left_anti").select("key", "set", "ord", "n", "pos", "bits")
+    early, late = setjoin.side(kept.drop("open"), "x"), setjoin.side(still, "y")
+    more = early.join(late, "key").where("x_ord < y_ord AND x_set <> y_set").where(setjoin.pass_filters("x", "y", num, den))
+    more = written(more.select(F.col("x_ord").alias("a"), F.col("y_ord").alias("b")).distinct().join(sorted_join(pairs), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        gone = gone.unionByName(setjoin.verified(more, fetch(more, first.select("set", "row")), num, den).select(F.col("b").alias("set"))).distinct()
-    ends = first.select("set", "first", "n").join(gone.withColumn("gone", F.lit(True)), "set", "left").where("gone OR n > 1")
-    lost = lines.join(ends, "set").where("gone OR ord > first").groupBy("row").agg(F.collect_list("line").alias("_gone"))
-    rest = [c for c in docs.columns if c not in (text, "_lines", "_removed")]
-    both = docs.select(F.col(text).alias("t"), row.alias("r"), F.struct(*rest).alias("_doc")).join(lost, F.col("r") == F.col("row"), "left").select("t", "_gone", "_doc")
+        gone = gone.unionByName(setjoin.verified(sorted_join(more), fetch(more), num, den).select(F.col("b").alias("ord"))).distinct()
+    ends = first.join(sorted_join(gone.select(F.col("ord").alias("first"), F.lit(True).alias("gone"))), "first", "left").where("gone OR n > 1").select("set", "first", "gone")
+    lost = lines.join(ends, "set").where("gone OR ord > first").groupBy("number").agg(F.collect_list("line").alias("_gone"))
+    both = shown.join(lost, F.col("i") == F.col("number"), "left").select("t", "_gone", "_doc")
     out = both.mapInArrow(_strip, extended(both, 2, "_text string, _lines long, _removed long"))
     kept = [F.col("_text").alias(text) if c == text else F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in ("_lines", "_removed")]
     return out.select(*kept, "_lines", "_removed")

@@ -12,8 +12,9 @@ and sorts a row per blob and numpy sorts a bucket.  A bucket is small, as no ele
 frequent: those that the sketch shows to occur more than ``HOT`` times are rows of their own,
 sorted by Spark and read as a stream.  Each posting looks back over at most ``REACH``
 others of its run and yields the first of the run, if it passes, and then its nearest
-passing predecessors, ``nearest`` in all.  Where that leaves
-something open (more might pass, or the run is longer), the run's postings are kept, so
+passing predecessors, ``nearest`` in all.  In a bucket, runs are sorted by set size
+whatever their order is, as sets of unlike sizes need not meet, and the passing predecessors
+nearest in size are yielded.  Where that leaves something open (more might pass, or the run is longer), the run's postings are kept, so
 that the caller can settle, by a join, just what these pairs left open.  No task holds a
 whole run of a frequent element and no group is expanded into all its pairs.
 """
@@ -37,6 +38,8 @@ REACH = 1024
 FILTER_BITS = 1 << 28
 #: A bucket has about so many postings; elements that occur more often than HOT have rows of their own.
 BUCKET = HOT = 1 << 15
+#: Postings meet so many others of like size before it is asked who needs more, so many pairs at once.
+NEAR, STEP = 64, 1 << 18
 #: So many postings are packed at once.
 FLUSH = 1 << 18
 RECORD = np.dtype([("key", "<i8"), ("set", "<i8"), ("ord", "<i8"), ("bits", "<i8"), ("n", "<i4"), ("pos", "<i4")])
@@ -178,7 +181,7 @@ def _pack(p: np.ndarray, rarity: Rarity) -> pa.RecordBatch:
     key = p["key"].view(np.uint64) if p["key"].flags.c_contiguous else np.ascontiguousarray(p["key"]).view(np.uint64)
     hot = rarity.rank[cells(key)] >= rarity.hot
     bucket = np.where(hot, (key >> np.uint64(32)).astype(np.int64) - 65536, ((key >> np.uint64(16)) * np.uint64(rarity.buckets) >> np.uint64(32)).astype(np.int64))
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if len(p) and bucket.min() >= 0 and bucket.max() < 1 << 16 else bucket, kind="stable")
     p, bucket = p[order], bucket[order]
     begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])) | (bucket < 0)) if len(p) else np.empty(0, np.int64)
     offsets = np.append(begin, len(p)) * RECORD.itemsize
@@ -214,7 +217,7 @@ def _look_back(p: dict, old: int, is_long: bool, nearest: int, num: int, den: in
     """Pairs of sorted postings.  The first ``old`` ones are there to be looked back at only;
     ``is_long``: the (only) run goes on before or after these postings.  ``by_size``: their
     order is that of set sizes, so all before one that is too small are too small."""
-    n = len(p["key"])
+    n, name = len(p["key"]), p["set" if by_size else "ord"]
     begin = np.flatnonzero(np.concatenate(([True], p["key"][1:] != p["key"][:-1])))
     length = np.diff(np.append(begin, n))
     place = np.arange(n) - np.repeat(begin, length)
@@ -225,7 +228,7 @@ def _look_back(p: dict, old: int, is_long: bool, nearest: int, num: int, den: in
     head = np.repeat(begin, length)
     hit = live[passes(p, head[live], live, num, den)]
     got[hit] += 1
-    found.append((p["set"][head[hit]], p["set"][hit]))
+    found.append((name[head[hit]], name[hit]))
     live = live[place[live] > 1]
     for d in range(1, min(int(length.max(initial=1)), reach + 1)):
         live = live[(place[live] > d) & (got[live] < nearest)]
@@ -235,7 +238,7 @@ def _look_back(p: dict, old: int, is_long: bool, nearest: int, num: int, den: in
             break
         hit = live[passes(p, live - d, live, num, den)]
         got[hit] += 1
-        found.append((p["set"][hit - d], p["set"][hit]))
+        found.append((name[hit - d], name[hit]))
     none = np.empty(0, np.int64)
     a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none)
     far = np.zeros(n, bool)
@@ -247,6 +250,76 @@ def _look_back(p: dict, old: int, is_long: bool, nearest: int, num: int, den: in
     return _batch(a, b, {x: p[x][keep] for x in NAMES}, is_open[keep])
 
 
+def _meet(p: dict, most: np.ndarray, j: np.ndarray, first: np.ndarray, last: np.ndarray, some: np.ndarray):
+    """Pairs (i, j) of postings that pass, i among the ``some`` from first[j] on and before last[j]."""
+    own, upto = np.flatnonzero(some), np.append(0, np.cumsum(some))
+    first, count = upto[first[j]], upto[last[j]] - upto[first[j]]
+    j, first, count = j[count > 0], first[count > 0], count[count > 0]
+    ends = np.append(0, np.cumsum(count))
+    x, found = 0, [(np.empty(0, np.int64),) * 2]
+    while x < len(j):
+        y = max(x + 1, int(np.searchsorted(ends, ends[x] + STEP, "right")) - 1)
+        c = count[x:y]
+        left = own[np.arange(ends[y] - ends[x]) + np.repeat(first[x:y] - (ends[x:y] - ends[x]), c)]
+        right = np.repeat(j[x:y], c)
+        near = np.flatnonzero(p["n"][right] <= most[left])
+        left, right = left[near], right[near]
+        ok = passes(p, left, right, *p["how"])
+        found.append((left[ok], right[ok]))
+        x = y
+    return (np.concatenate(k) for k in zip(*found, strict=True))
+
+
+def _look_around(p: dict, nearest: int, num: int, den: int, reach: int) -> pa.RecordBatch:
+    """Pairs (earlier, later) of whole runs of sorted postings.  They are sorted by size, and only
+    those meet that sizes and positions let pass; those nearest in size come first, and further
+    ones, over ``reach`` places at most, for what these haven't given enough."""
+    n, at = len(p["key"]), np.arange(len(p["key"]))
+    begin = np.flatnonzero(np.concatenate(([True], p["key"][1:] != p["key"][:-1])))
+    length = np.diff(np.append(begin, n))
+    run = np.repeat(np.arange(len(begin)), length)
+    by = np.argsort(run << 32 | p["n"], kind="stable")
+    rank = (at - begin[run])[by]
+    p = {x: v[by] for x, v in p.items()}
+    size = p["n"].astype(np.int64)
+    # the sizes of sets that may be alike and meet at these positions
+    least, most = -(-num * size // den), (size - p["pos"]) * (num + den) // num - size
+    key = run << 32 | size
+    low = np.searchsorted(key, run << 32 | least)
+    up = np.maximum(low, np.minimum(at, np.searchsorted(key, run << 32 | np.minimum(most, (1 << 31) - 1), "right")))
+    near = np.maximum(low, up - NEAR)
+    far = np.minimum(near, np.maximum(low, up - reach))
+    p, smaller = {**p, "how": (num, den)}, most >= size
+
+    def counted(i, j):
+        later = np.where(rank[i] < rank[j], j, i)
+        return i + j - later, later, np.bincount(later, minlength=n)
+
+    i, j = _meet(p, most, at, near, up, smaller)
+    got = counted(i, j)[2]
+    undone, more = got < np.minimum(rank, nearest), near > far
+    skipped = more & ~undone
+    rest = [_meet(p, most, at[more & undone], far, near, smaller), _meet(p, most, at[skipped], far, near, smaller & undone)]
+    i, j = (np.concatenate(x) for x in zip((i, j), *rest, strict=True))
+    early, late, got = counted(i, j)
+    by = np.lexsort((np.abs(late - early), late))
+    early, late = early[by], late[by]
+    few = np.arange(len(late)) - np.searchsorted(late, late) < nearest
+    # open: more have passed; enough had, so that some weren't tried; some are out of reach
+    is_open = got > nearest
+    if (near > low).any():
+        is_open |= ~undone & (rank > got)
+        out = at[far > low]
+        edge = np.bincount(low[out], minlength=n) - np.bincount(far[out], minlength=n)
+        is_open |= (far > low) | (np.cumsum(edge) > 0)
+    is_open &= rank > 0
+    # only sets of like size can be what an open one lacks
+    end = np.searchsorted(key, (run << 32 | np.minimum(most, (1 << 31) - 1))[is_open], "right")
+    edge = np.bincount(low[is_open], minlength=n + 1) - np.bincount(np.maximum(low[is_open], end), minlength=n + 1)
+    keep = is_open | (np.cumsum(edge[:-1]) > 0)
+    return _batch(p["ord"][early[few]], p["ord"][late[few]], {x: p[x][keep] for x in NAMES}, is_open[keep])
+
+
 def _once(p: dict) -> dict:
     """Sorted postings without those whose (key, set) came before."""
     _, at = np.unique(kernel.mix(p["key"].view(np.uint64)) ^ p["set"].view(np.uint64), return_index=True)
@@ -261,8 +334,10 @@ class _Buckets:
         self.how = how
 
     def _pairs(self, r: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((r["ord"], r["key"]))
-        return _look_back(_once({x: np.ascontiguousarray(r[x][order]) for x in NAMES}), 0, False, *self.how)
+        nearest, num, den, by_size, reach = self.how
+        r = r[np.lexsort((r["ord"], r["key"]))]
+        p = _once({x: np.ascontiguousarray(r[x]) for x in NAMES})
+        return _look_back(p, 0, False, *self.how) if by_size else _look_around(p, nearest, num, den, reach)
 
     def more(self, bucket: np.ndarray, records: np.ndarray):
         bucket, records = np.concatenate((self.bucket, bucket)), np.concatenate((self.records, records))
@@ -331,8 +406,9 @@ def _runs(*how):
 
 def candidates(postings: DataFrame, num: int, den: int, nearest: int, by_size: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pairs (a, b) that pass, postings of the runs that leave something open).  ``postings``
-    as PACKED; those of one (key, set) may repeat.  In a run, a stands before b by ord, which
-    is the set's size if ``by_size``.
+    as PACKED; those of one (key, set) may repeat.  In a run, a stands before b by ord.  If
+    ``by_size``, ord is the set's size and pairs are of sets; else each ord stands for one set
+    and pairs are of ords, as a frequent element may name a set again at a later one.
     ``open``: a posting may have passing predecessors that aren't among the pairs."""
     ship(postings.sparkSession)
     sorted_ = postings.repartition("bucket").sortWithinPartitions("bucket", "key", "ord").select("bucket", "data")
@@ -426,16 +502,17 @@ def id_filter(ids: DataFrame, column: str) -> IdFilter:
 def _verify(num: int, den: int):
     def run(batches):
         for b in batches:
-            x, y = b.column("x"), b.column("y")
+            sides = [kernel.buffers(b.column(c)) for c in ("x", "y")]
             ok = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                u, v = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.searchsorted(v, u)
-                at[at == len(v)] = 0
-                common = int((v[at] == u).sum()) if len(v) else 0
-                ok[i] = den * common >= num * (len(u) + len(v) - common)
+            for i, j in kernel.chunks(sum(bounds for _, bounds in sides)):
+                keys = []
+                for data, bounds in sides:
+                    values = data[bounds[i] : bounds[j]].view(np.uint64)
+                    keys.append(np.repeat(np.arange(j - i, dtype=np.uint64) << kernel.BITS, np.diff(bounds[i : j + 1]) >> 3) | values)
+                both = np.sort(np.concatenate(keys))
+                common = np.bincount((both[1:][both[1:] == both[:-1]] >> kernel.BITS).astype(np.int64), minlength=j - i)
+                size = sum(np.diff(bounds[i : j + 1]) >> 3 for _, bounds in sides)
+                ok[i:j] = den * common >= num * (size - common)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
 
     return run
