@@ -93,3 +93,22 @@ def test_no_table_is_broadcast_in_a_refresh(spark, monkeypatch):
     e = index.refresh(old, files, files, R.Config()).edges
     assert [tuple(r) for r in e.select("src_file", "dst_file").collect()] == [("a/x.py", "a/y.py")]
     assert len(plans) == 6 and not any("Broadcast" in p for p in plans)
+
+
+def package(spark, n):
+    """(path, content_hash, text) of a Java and a C# package of ``n`` files, and a test of the first."""
+    java = [(f"src/p/C{k:02}.java", str(k), f"package p;\nclass C{k:02} {{}}\n") for k in range(n)]
+    cs = [(f"app/N/D{k:02}.cs", str(k), f"namespace N;\npublic class D{k:02} {{\n}}\n") for k in range(n)]
+    return spark.createDataFrame([*java, *cs, ("src/p/C00Test.java", "t", "package p;\nclass C00Test {}\n")], "path string, content_hash string, text string")
+
+
+def among(n):
+    """The edges of ``package``: each file to all others, tests to all that aren't."""
+    java, cs = [f"src/p/C{k:02}.java" for k in range(n)], [f"app/N/D{k:02}.cs" for k in range(n)]
+    return {(a, b) for x in (java, cs) for a in x for b in x if a != b} | {("src/p/C00Test.java", b) for b in java}
+
+
+def test_packages_of_any_size(spark):
+    t = package(spark, 13)
+    got = [(r.src_file, r.dst_file) for r in index.build(t.drop("text"), t, R.Config()).edges.collect()]
+    assert len(got) == len(set(got)) and set(got) == among(13)
