@@ -112,3 +112,11 @@ def test_packages_of_any_size(spark):
     t = package(spark, 13)
     got = [(r.src_file, r.dst_file) for r in index.build(t.drop("text"), t, R.Config()).edges.collect()]
     assert len(got) == len(set(got)) and set(got) == among(13)
+
+
+def test_packages_of_any_size_in_a_refresh(spark):
+    """Files of a package that come later are linked with all that were there."""
+    t = package(spark, 13)
+    few = t.where("path < 'app/N/D07.cs'")
+    e = index.refresh(index.build(few.drop("text"), few, R.Config()), t.drop("text"), t, R.Config()).edges
+    assert {(r.src_file, r.dst_file) for r in e.collect()} == among(13)
